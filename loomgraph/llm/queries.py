@@ -4,17 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import tokenize
+from loomgraph.llm import dedup, packing, splitting, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The records of problem 2: which predicates hold records, and whether those are lists of fields.
+RECORD_KINDS = {"declares": True, "commitMessage": False}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of records written in other ways, with the row that is kept."""
+    return dedup.duplicates(table(spark, sf_dir, "triples"), RECORD_KINDS)
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record each with its number of copies."""
+    return dedup.records(table(spark, sf_dir, "triples"), RECORD_KINDS)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
-SQL: dict[str, str] = {}
+def _limits(spark: SparkSession, sf_dir: str, problem: int) -> list:
+    """The sizes to work with: a small fixed table."""
+    return table(spark, sf_dir, "token_limits").filter(F.col("problem") == problem).orderBy("limit_id").collect()
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (of every part of an oversized one) at every limit."""
+    limits = [(r["limit_id"], r["max_tokens"]) for r in _limits(spark, sf_dir, 8)]
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), limits)
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document above a limit."""
+    limits = [(r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in _limits(spark, sf_dir, 9)]
+    return splitting.split(table(spark, sf_dir, "documents"), limits)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p7_ids, p8_containers, p9_pieces)}
+_RECORDS = r"""
+  recs AS (SELECT triple_id, p, lower(o) AS x, regexp_extract_all(lower(o), '[\p{L}\p{Nd}]+') AS w FROM triples WHERE p IN ('declares', 'commitMessage') AND o IS NOT NULL),
+  flds AS (SELECT triple_id, f, regexp_extract(f, '^([^:=]*)[:=]', 1) AS name, CASE WHEN regexp_matches(f, '[:=]') THEN regexp_replace(f, '^[^:=]*[:=]', '') ELSE f END AS val
+    FROM (SELECT triple_id, unnest(string_split_regex(x, '[,;|\r\n]+')) AS f FROM recs WHERE p = 'declares' AND len(w) >= 3)),
+  leaves AS (SELECT triple_id, array_to_string(regexp_extract_all(name, '[\p{L}\p{Nd}]+'), ' ') || '=' || array_to_string(regexp_extract_all(val, '[\p{L}\p{Nd}]+'), ' ') AS leaf FROM flds),
+  forms AS (
+    SELECT triple_id, 'declares' AS p, string_agg(leaf, '|' ORDER BY leaf) AS form FROM leaves WHERE leaf <> '=' GROUP BY triple_id
+    UNION ALL SELECT triple_id, p, array_to_string(w, ' ') FROM recs WHERE p = 'commitMessage' AND len(w) >= 3)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_RECORDS}
+SELECT keep_id, triple_id AS dup_id FROM (SELECT triple_id, min(triple_id) OVER (PARTITION BY p, form) AS keep_id FROM forms) WHERE triple_id <> keep_id""",
+    "p2_records": f"WITH {_RECORDS} SELECT min(triple_id) AS keep_id, p AS kind, count(*) AS copies FROM forms GROUP BY p, form",
+}
