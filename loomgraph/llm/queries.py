@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import dedup, packing, splitting, tokenize
+from loomgraph.llm import dedup, handwritten, packing, splitting, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,26 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.records(table(spark, sf_dir, "triples"), RECORD_KINDS)
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Which extensions are source files: a small fixed table."""
+    return {r["ext"]: r["language"] for r in table(spark, sf_dir, "ext_languages").collect()}
+
+
+def _not_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = [r["content"] for r in table(spark, sf_dir, "upstream_files").select("content").collect() if r["content"]]  # a fixed table
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), _languages(spark, sf_dir), known)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are machine-written, minified, third-party or data."""
+    return _not_handwritten(spark, sf_dir).select("path")
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with what each file is."""
+    return _not_handwritten(spark, sf_dir)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokenize.encode(table(spark, sf_dir, "documents"))
@@ -47,7 +67,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p7_ids, p8_containers, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_kinds, p7_ids, p8_containers, p9_pieces)}
 _RECORDS = r"""
   recs AS (SELECT triple_id, p, lower(o) AS x, regexp_extract_all(lower(o), '[\p{L}\p{Nd}]+') AS w FROM triples WHERE p IN ('declares', 'commitMessage') AND o IS NOT NULL),
   flds AS (SELECT triple_id, f, regexp_extract(f, '^([^:=]*)[:=]', 1) AS name, CASE WHEN regexp_matches(f, '[:=]') THEN regexp_replace(f, '^[^:=]*[:=]', '') ELSE f END AS val
