@@ -11,6 +11,7 @@ import functools
 import heapq
 import importlib.util
 import os
+import re
 
 #: Fixed value: how byte_bpe_50k cuts a text into words, and the characters it takes for white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,11 +67,11 @@ class Encoder:
 
         self.ranks, self.pairs = ranks_of(data), pairs_of(data)
         self.words = regex.compile(PATTERN)
-        self.long = regex.compile(rf"\S{{{LONG},}}|\s{{{LONG},}}")
+        self.blanks = re.compile(rf"\s{{{LONG}}}")
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if not self.long.search(text):
+        if max(map(len, text.split()), default=0) < LONG and not self.blanks.search(text):
             return self.fast.encode_ordinary(text)
         return [i for word in self.words.findall(text) for i in self.word(word.encode())]
 

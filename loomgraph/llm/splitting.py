@@ -24,26 +24,38 @@ FILL = 0.5
 BATCH_TOKENS = 1 << 22
 
 
+def _table(members: bytes) -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[list(members)] = True
+    return t
+
+
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 digit, 2 letter (or a part of one), 3 other
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = 1
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 2
+_STOP, _CLOSE, _CLAUSE = _table(b".!?"), _table(b"\"')]"), _table(b",;:")
+
+
 def marks_of(raw: np.ndarray, ends: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The mark of each token: ``raw`` bytes of all texts, ``ends`` the tokens' ends in it, ``last`` true at a text's last token."""
-    pad = np.concatenate([np.zeros(4, np.uint8), raw, np.full(1, 32, np.uint8)])
-    at = lambda i: pad[ends + 4 + i]  # noqa: E731  byte at i from the boundary: -1 before it, 0 after it
-    kind = np.full(256, 3, np.uint8)  # 0 white space, 1 digit, 2 letter, 3 other
-    kind[[9, 10, 11, 12, 13, 32]] = 0
-    kind[48:58] = 1
-    kind[65:91] = kind[97:123] = kind[128:] = 2
-    one, two, three, after = at(-1), at(-2), at(-3), at(0)
-    stop = np.isin(one, np.frombuffer(b".!?", np.uint8)) | (np.isin(one, np.frombuffer(b"\"')]", np.uint8)) & np.isin(two, np.frombuffer(b".!?", np.uint8)))
-    wide = (three == 0xE3) & (two == 0x80) & (one == 0x82) | (three == 0xEF) & (two == 0xBC) & ((one == 0x81) | (one == 0x9F))
-    clause = np.isin(one, np.frombuffer(b",;:", np.uint8)) & (kind[after] == 0) | (three == 0xE3) & (two == 0x80) & (one == 0x81) | (three == 0xEF) & (two == 0xBC) & (one == 0x8C)
-    line = (one == 10) & (after != 10)
+    """The mark of each token: ``raw`` bytes of all texts, ``ends`` the tokens' ends in it, ``last`` the places of the texts' last tokens."""
+    pad = np.concatenate([np.zeros(2, np.uint8), raw, np.full(1, 32, np.uint8)])
+    # bytes before (one, two, three) and after each boundary
+    three, two, one, after = pad[ends - 1], pad[ends], pad[ends + 1], pad[ends + 2]
+    before, behind = _KIND[one], _KIND[after]
+    blank = behind == 0
     m = np.full(len(ends), ord("c"), np.uint8)
-    m[(kind[one] != kind[after]) | (kind[one] == 0)] = ord("W")
-    m[clause] = ord("C")
-    m[stop & (kind[after] == 0) | wide] = ord("S")
+    m[(before != behind) | (before == 0)] = ord("W")
+    m[_CLAUSE[one] & blank] = ord("C")
+    m[(_STOP[one] | (_CLOSE[one] & _STOP[two])) & blank] = ord("S")
+    cjk = np.flatnonzero((three == 0xE3) & (two == 0x80) | (three == 0xEF) & (two == 0xBC))  # full-width stops and commas
+    x, y = three[cjk], one[cjk]
+    m[cjk[(x == 0xE3) & (y == 0x82) | (x == 0xEF) & ((y == 0x81) | (y == 0x9F))]] = ord("S")
+    m[cjk[(x == 0xE3) & (y == 0x81) | (x == 0xEF) & (y == 0x8C)]] = ord("C")
+    line = np.flatnonzero((one == 10) & (after != 10))
     m[line] = ord("L")
-    m[line & ((two == 10) | (two == 13) & (three == 10))] = ord("P")
-    m[((after & 0xC0) == 0x80) | (kind[one] == 3) & (after == ord("'"))] = ord("x")  # inside a character, or before what might read as 's
+    m[line[(two[line] == 10) | (two[line] == 13) & (three[line] == 10)]] = ord("P")
+    m[((after & 0xC0) == 0x80) | (before == 3) & (after == 39)] = ord("x")  # inside a character, or before what might read as 's
     m[last] = ord("P")
     return m
 
@@ -60,18 +72,16 @@ def marked(documents: DataFrame, least: int, key: str = "doc_id", text: str = "t
 
         def emit(keys, texts, ids):
             counts = np.array([len(i) for i in ids], np.int64)
-            flat = np.concatenate(ids)
             stops = np.cumsum(counts)
-            last = np.zeros(len(flat), bool)
-            last[stops - 1] = True
-            ends = np.cumsum(width[flat])
-            raw = np.frombuffer("".join(texts).encode(), np.uint8)
-            m = marks_of(raw, ends, last)
+            ends = np.cumsum(width[np.concatenate(ids)])
+            joined = "".join(texts).encode()
+            m = marks_of(np.frombuffer(joined, np.uint8), ends, stops - 1)
             offsets = np.concatenate([[0], stops]).astype(np.int32)
-            began = np.concatenate([[0], ends[stops[:-1] - 1]])
-            own = (ends - np.repeat(began, counts)).astype(np.int32)
+            began = np.concatenate([[0], ends[stops - 1]]).astype(np.int32)
+            own = ends.astype(np.int32) - np.repeat(began[:-1], counts)
+            binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(began), pa.py_buffer(joined)])
             marks = pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(m))
-            return pa.record_batch([keys, pa.array(texts, pa.string()), marks, pa.ListArray.from_arrays(pa.array(offsets), pa.array(own))], names=["k", "t", "marks", "ends"])
+            return pa.record_batch([keys, binary, marks, pa.ListArray.from_arrays(pa.array(offsets), pa.array(own))], names=["k", "t", "marks", "ends"])
 
         for b in batches:
             where, texts, ids, held = [], [], [], 0
@@ -79,7 +89,7 @@ def marked(documents: DataFrame, least: int, key: str = "doc_id", text: str = "t
                 if t and len((x := e.encode(t))) > least:
                     where.append(i)
                     texts.append(t)
-                    ids.append(np.array(x, np.int64))
+                    ids.append(np.fromiter(x, np.int32, len(x)))
                     held += len(x)
                     if held > BATCH_TOKENS:
                         yield emit(b.column(0).take(pa.array(where)), texts, ids)
@@ -89,7 +99,7 @@ def marked(documents: DataFrame, least: int, key: str = "doc_id", text: str = "t
 
     rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, t string, marks string, ends array<int>")
+    return rows.mapInArrow(run, f"k {kind}, t binary, marks string, ends array<int>")
 
 
 def _expression(first: int, further: int) -> str:
@@ -115,7 +125,7 @@ def _pieces(limit_id: int, most: int, overlap: int) -> Column:
         hi = F.get("ends", end - 1)
         return F.struct(
             F.lit(limit_id).alias("limit_id"), i.alias("piece"), start.alias("first_token"), (end - start).alias("n_tokens"), (before - start).alias("shared_tokens"),
-            F.decode(F.substring(F.encode("t", "UTF-8"), lo + 1, hi - lo), "UTF-8").alias("text"),
+            F.substring("t", lo + 1, hi - lo).cast("string").alias("text"),
         )
 
     whole = F.transform(F.array(ends), lambda z: F.transform(z, lambda end, i: piece(z, end, i)))[0]
