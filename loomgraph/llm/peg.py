@@ -2,7 +2,7 @@
 
 A grammar is a list of ``Rule <- expression`` over token kinds: ``'text'`` is the token
 with that text, an upper-case name a class of tokens, ``/`` ordered choice, ``* + ?`` and
-``& !`` as usual, ``@nl`` true before a token on a new line.  Rules whose names begin with
+``& !`` as usual, ``ANYTOKEN`` any but the end, ``@nl`` true before a token on a new line.  Rules whose names begin with
 ``~`` on their first line are kept in the table (position x rule -> end), so that what is
 tried by several alternatives is parsed once.  First sets computed from the grammar drop
 alternatives that can't begin with the next token.  The recogniser is generated once for
@@ -113,6 +113,8 @@ class Grammar:
         elif e[0] == "rule" and e[1] not in self.rules:
             if not e[1].isupper():
                 raise ValueError(f"no rule {e[1]}")
+            if e[1] == "ANYTOKEN":
+                return
             self.kinds.setdefault(e[1], len(self.kinds))
         elif e[0] in ("seq", "or"):
             for x in e[1]:
@@ -138,6 +140,8 @@ class Grammar:
         kind = e[0]
         if kind == "tok":
             return False, frozenset([self.kinds[e[1]]])
+        if kind == "rule" and e[1] == "ANYTOKEN":
+            return False, frozenset(v for k, v in self.kinds.items() if k not in ("END", "<end>"))
         if kind == "rule":
             return (self._nullable[e[1]], self._first[e[1]]) if e[1] in self.rules else (False, frozenset([self.kinds[e[1]]]))
         if kind in ("at", "and", "not"):

@@ -297,8 +297,8 @@ class JavaScript(Language):
     grammars = ("javascript.peg",)
     operators = "{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? : = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => . ... ?. @ #!"
     number = re.compile(r"(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:[0-9](?:_?[0-9])*)n|(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)(?![\w$])")
-    word = re.compile(r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
-    skip = re.compile(r"(?:[\s\ufeff]+|//[^\n\r  ]*|/\*.*?\*/)+", re.S)
+    word = re.compile(r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
+    skip = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
     string = re.compile(r"'(?:[^'\\\n\r]|\\(?:\r\n|.))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|.))*\"", re.S)
     regex = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
     chars = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
