@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Digit groups may be parted by these (fixed values): comma, underscore, apostrophes, plain and typographic blanks.
-GROUP_MARKS = "[,_'’    ]"
+GROUP_MARKS = r"[,_'\u2019 \u00a0\u2009\u202f]"
 WHOLE = rf"^[+-]?([0-9]+|[0-9]{{1,3}}({GROUP_MARKS}[0-9]{{3}})+)(\.0*)?$"
 SCIENTIFIC = r"^[+-]?[0-9]+(\.[0-9]*)?e[+-]?[0-9]{1,2}$"
 HEX = r"^[+-]?0x[0-9a-f]{1,16}$"
@@ -19,7 +19,7 @@ def trimmed(x: Column) -> Column:
 
 def to_bigint(x: Column) -> Column:
     """A whole number in 64 bits: signs, leading zeros, digit groups, .00, exponents, hexadecimal."""
-    t = F.regexp_replace(F.lower(trimmed(x)), "−", "-")
+    t = F.regexp_replace(F.lower(trimmed(x)), "\u2212", "-")
     plain = F.regexp_replace(F.regexp_replace(t, GROUP_MARKS, ""), r"\.0*$", "").try_cast("decimal(38,0)")
     sci = t.try_cast("decimal(38,10)")
     sci = F.when(sci == F.floor(sci), sci).cast("decimal(38,0)")
