@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm import dedup, handwritten, packing, splitting, syntax, tokenize
+from loomgraph.llm import dedup, handwritten, names, packing, splitting, syntax, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(table(spark, sf_dir, "files"), _languages(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of the same person or organisation."""
+    return names.variants(table(spark, sf_dir, "file_git_info"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokenize.encode(table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_kinds, p4_found, p4_errors, p4_rates, p7_ids, p8_containers, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_kinds, p4_found, p4_errors, p4_rates, p6_found, p7_ids, p8_containers, p9_pieces)}
 _RECORDS = r"""
   recs AS (SELECT triple_id, p, lower(o) AS x, regexp_extract_all(lower(o), '[\p{L}\p{Nd}]+') AS w FROM triples WHERE p IN ('declares', 'commitMessage') AND o IS NOT NULL),
   flds AS (SELECT triple_id, f, regexp_extract(f, '^([^:=]*)[:=]', 1) AS name, CASE WHEN regexp_matches(f, '[:=]') THEN regexp_replace(f, '^[^:=]*[:=]', '') ELSE f END AS val
