@@ -140,9 +140,13 @@ def _person(given: list[str], surname: str, ordered: bool) -> list[tuple[str, st
 # -- the metric space ----------------------------------------------------------------
 
 
-def pairs_within(forms: DataFrame, column: str = "form", radius: int = RADIUS) -> DataFrame:
-    """a, b (a < b): all pairs of different non-null strings within a Levenshtein radius, or with two neighbouring letters swapped."""
-    points = forms.select(forms[column].alias("x")).filter(F.col("x").isNotNull()).distinct()
+def pairs_within(forms: DataFrame, ws: Workspace, column: str = "form", radius: int = RADIUS) -> DataFrame:
+    """a, b (a < b): all pairs of different non-null strings within a Levenshtein radius, or with two neighbouring letters swapped.
+
+    Few bytes, much work: partitions are set by the number of cores, not by size.
+    """
+    parts = 4 * forms.sparkSession.sparkContext.defaultParallelism
+    points = ws.cut(forms.select(forms[column].alias("x")).filter(F.col("x").isNotNull()).distinct().repartition(parts, "x"), "points")
     n = points.count()
     if n < 2:
         return points.select(F.col("x").alias("a"), F.col("x").alias("b")).filter(F.lit(False))
@@ -150,13 +154,15 @@ def pairs_within(forms: DataFrame, column: str = "form", radius: int = RADIUS) -
     pivots = [r["x"] for r in points.orderBy(F.xxhash64("x"), "x").limit(k).collect()]
     k = len(pivots)
     d = F.transform(F.array(*[F.lit(p) for p in pivots]), lambda p: F.levenshtein(F.col("x"), p))
-    placed = points.select("x", d.alias("d")).withColumn("near", F.array_min("d"))
-    placed = placed.select("x", F.length("x").alias("n"), "d", "near", F.array_position("d", F.col("near")).cast("int").alias("home"))
+    placed = points.repartition(parts, "x").select("x", d.alias("d")).withColumn("near", F.array_min("d"))
+    placed = placed.select(
+        "x", F.length("x").alias("n"), "near", F.array_position("d", F.col("near")).cast("int").alias("home"),
+        F.filter(F.transform("d", lambda v, i: F.struct((i + 1).alias("cell"), v.alias("v"))), lambda c: c["v"] <= F.col("near") + 2 * radius).alias("cells"),
+    )
+    placed = ws.cut(placed, "placed")
     homes = placed.select(F.col("home").alias("cell"), F.col("x").alias("a"), F.col("near").alias("da"), F.col("n").alias("len"))
-    copies = placed.select(
-        "x", "n", F.explode(F.filter(F.transform("d", lambda v, i: F.struct((i + 1).alias("cell"), v.alias("v"))), lambda c: c["v"] <= F.col("near") + 2 * radius)).alias("c")
-    ).select(F.col("c.cell").alias("cell"), F.col("x").alias("b"), F.col("c.v").alias("db"), F.explode(F.sequence(F.col("n") - radius, F.col("n") + radius)).alias("len"))
-    close = homes.join(copies, ["cell", "len"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= radius) & (F.levenshtein("a", "b", radius) >= 0)).select("a", "b")
+    copies = placed.select("x", "n", F.explode("cells").alias("c")).select(F.col("c.cell").alias("cell"), F.col("x").alias("b"), F.col("c.v").alias("db"), F.explode(F.sequence(F.col("n") - radius, F.col("n") + radius)).alias("len"))
+    close = homes.repartition(parts, "cell", "len").join(copies.repartition(parts, "cell", "len"), ["cell", "len"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= radius) & (F.levenshtein("a", "b", radius) >= 0)).select("a", "b")
 
     letters = F.array_join(F.array_sort(F.split("x", "")), "")
     bag = points.select("x", F.xxhash64(letters).alias("bag"))
@@ -210,7 +216,7 @@ def classes(names: DataFrame, column: str = "name") -> DataFrame:
     weak = read.filter(F.col("strength") == "i").select("name", F.concat(F.lit("~"), F.col("form")).alias("form"))
     shorts = person.select(initial.alias("form")).unionByName(weak.select("form")).distinct()
     unclear = read.filter(F.col("strength") == "a").select("name", "form")
-    near = pairs_within(full.select("form").unionByName(lossy.select("form")).unionByName(unclear.select("form")).unionByName(shorts))
+    near = pairs_within(full.select("form").unionByName(lossy.select("form")).unionByName(unclear.select("form")).unionByName(shorts), ws)
     # an initial is never the letter mistyped, and two known given names are two people
     known_given = lambda c: F.substring_index(c, " ", 1).isin(*FORMAL)
     differ = F.substring_index("a", " ", 1) != F.substring_index("b", " ", 1)
