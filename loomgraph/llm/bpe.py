@@ -65,7 +65,7 @@ class Encoder:
         import regex
         import tiktoken
 
-        self.ranks, self.pairs = ranks_of(data), pairs_of(data)
+        self.data, self.ranks = data, ranks_of(data)
         self.words = regex.compile(PATTERN)
         self.blanks = re.compile(rf"\s{{{LONG}}}")
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
@@ -75,6 +75,10 @@ class Encoder:
             return self.fast.encode_ordinary(text)
         return [i for word in self.words.findall(text) for i in self.word(word.encode())]
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        return pairs_of(self.data)
+
     def word(self, word: bytes) -> list[int]:
         """Merges the lowest rank first, leftmost first, with a heap: n log n in the word's length."""
         if word in self.ranks:

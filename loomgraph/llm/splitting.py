@@ -115,20 +115,25 @@ def _pieces(limit_id: int, most: int, overlap: int) -> Column:
     """Array of the pieces of the row's text at one limit; empty if the text is within it."""
     cut = F.transform(F.regexp_extract_all("marks", F.lit(_expression(most, most - overlap)), F.lit(0)), F.length)
     ends = F.aggregate(cut, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    # let z = the pieces' ends in tokens
-    def piece(z: Column, end: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(z, i - 1)).otherwise(F.lit(0))
-        back = F.greatest(before - overlap, F.lit(0))
-        start = back + F.length(F.regexp_extract(F.substring(F.col("marks"), back, F.lit(4)), "^x*", 0)) if overlap else before
-        start = F.when(back > 0, F.least(start, before)).otherwise(back) if overlap else before
-        lo = F.when(start > 0, F.get("ends", start - 1)).otherwise(F.lit(0))
-        hi = F.get("ends", end - 1)
+    # each step binds what the next one uses more than once: ends -> where the last piece ended -> start -> byte offsets
+    spans = F.transform(F.array(ends), lambda z: F.transform(z, lambda end, i: F.struct(i.alias("i"), end.alias("end"), F.when(i > 0, F.get(z, i - 1)).otherwise(F.lit(0)).alias("before"))))[0]
+
+    def started(x: Column) -> Column:
+        back = F.greatest(x["before"] - overlap, F.lit(0))
+        start = x["before"] if not overlap else F.when(back > 0, F.least(back + F.length(F.regexp_extract(F.substring(F.col("marks"), back, F.lit(4)), "^x*", 0)), x["before"])).otherwise(back)
+        return F.struct(x["i"].alias("i"), x["end"].alias("end"), x["before"].alias("before"), start.alias("start"))
+
+    def placed(x: Column) -> Column:
+        lo = F.when(x["start"] > 0, F.get("ends", x["start"] - 1)).otherwise(F.lit(0))
+        return F.struct(x["i"].alias("i"), x["end"].alias("end"), x["before"].alias("before"), x["start"].alias("start"), lo.alias("lo"))
+
+    def piece(x: Column) -> Column:
         return F.struct(
-            F.lit(limit_id).alias("limit_id"), i.alias("piece"), start.alias("first_token"), (end - start).alias("n_tokens"), (before - start).alias("shared_tokens"),
-            F.substring("t", lo + 1, hi - lo).cast("string").alias("text"),
+            F.lit(limit_id).alias("limit_id"), x["i"].alias("piece"), x["start"].alias("first_token"), (x["end"] - x["start"]).alias("n_tokens"), (x["before"] - x["start"]).alias("shared_tokens"),
+            F.substring("t", x["lo"] + 1, F.get("ends", x["end"] - 1) - x["lo"]).cast("string").alias("text"),
         )
 
-    whole = F.transform(F.array(ends), lambda z: F.transform(z, lambda end, i: piece(z, end, i)))[0]
+    whole = F.transform(F.transform(F.transform(spans, started), placed), piece)
     return F.when(F.length("marks") > most, whole)
 
 
