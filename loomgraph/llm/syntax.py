@@ -11,7 +11,7 @@ read and judged where they lie; only the flagged paths or the counts are shuffle
 from __future__ import annotations
 
 import functools
-import os
+import importlib.resources
 import re
 import sys
 
@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.peg import Grammar
 
-FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "grammars")
+
+
+def grammar_text(name: str) -> str:
+    """A bundled grammar, also where the package is a zip file."""
+    return importlib.resources.files("loomgraph.llm").joinpath("grammars", name).read_text(encoding="utf-8")
 
 
 class LexError(Exception):
@@ -42,11 +46,7 @@ class Language:
     identifier = r"[^\W\d]\w*"
 
     def __init__(self) -> None:
-        texts = []
-        for g in self.grammars:
-            with open(os.path.join(FOLDER, g), encoding="utf-8") as f:
-                texts.append(f.read())
-        self.grammar = Grammar(*texts)
+        self.grammar = Grammar(*map(grammar_text, self.grammars))
         kinds = self.grammar.kinds
         self.end = kinds.setdefault("END", len(kinds))
         self.words = {x: kinds[x] for x in self.grammar.literals if re.fullmatch(r"\w+", x)}
