@@ -173,14 +173,16 @@ def scan(language: str, text: str) -> Found:
             word = re.search(r"[\w$?!]+$", callee)
             if word[0] in NO_CALL or m.start(1) in names or last - len(word[0]) in names or not rules.members and re.search(r"->|::", callee) or not rules.members and callee[:1] == "$":
                 continue
-            before = code[: m.start(1)].rstrip()
+            if language == "rust" and callee.endswith("!"):
+                continue  # a macro
+            before = code[max(0, m.start(1) - 40) : m.start(1)].rstrip()
             if re.search(r"\b(?:new|func|fn|function|def|fun|class|struct|enum|interface|type)$|@$|\$$", before) or not rules.members and before.endswith(("->", "::", "new")):
                 continue
             end = closing(code, m.end() - 1, "()")
             following = code[end : end + 40].lstrip()
             if following.startswith("{") and language in ("javascript", "typescript", "tsx", "java", "csharp") and callee == word[0]:
                 continue  # a method's head
-            if language in ("typescript", "tsx") and callee == word[0] and re.match(r":[^;{=()?]*\{", following) and re.search(r"[;{}]\s*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*$", code[: m.start(1)]):
+            if language in ("typescript", "tsx") and callee == word[0] and re.match(r":[^;{=()?]*\{", following) and re.search(r"[;{}]\s*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*$", code[max(0, m.start(1) - 80) : m.start(1)]):
                 continue
             if language == "rust" and word[0][:1].isupper() and re.match(r"=>|if\b|\||=(?!=)", following):
                 continue  # a pattern

@@ -104,7 +104,7 @@ def man(path: Column, text: Column) -> Column:
 
 
 def _keys(text: Column, at: str | None = None) -> Column:
-    got = F.json_object_keys(text if at is None else F.get_json_object(text, f"$.{at}"))
+    got = F.json_object_keys(text if at is None else F.get_json_object(text, f"$['{at}']"))
     return F.coalesce(got, F.array().cast("array<string>"))
 
 
@@ -192,7 +192,7 @@ def requirements(text: Column) -> Column:
 
 
 def composer(text: Column) -> Column:
-    return F.filter(F.concat(_keys(text, "require"), _keys(text, "['require-dev']")), lambda x: (x != "php") & ~x.startswith("ext-"))
+    return F.filter(F.concat(_keys(text, "require"), _keys(text, "require-dev")), lambda x: (x != "php") & ~x.startswith("ext-"))
 
 
 def pubspec(text: Column) -> Column:
