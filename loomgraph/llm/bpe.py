@@ -18,8 +18,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same for Java's regular expressions, where \s would know ASCII only.
 JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]").replace(r"(?!\S)", rf"(?![^{SPACES}])").replace(r"|\s+", rf"|[{SPACES}]+")
-#: A run of this many characters may hold a word for which a fold that is quadratic in the word's length is too slow.
-LONG = 256
+#: A fold is quadratic in a word's length: texts with a run of this many characters that may be one word are encoded
+#: another way.  The second kind of run takes blanks of all sorts together.  No word of 200 bytes or more escapes.
+LONG = 48
+MAY_BE_LONG = rf"(?<!\S)(?:\S{{{LONG}}}|[\s\x80-\uffff]{{{LONG}}})"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -58,8 +60,12 @@ def pairs_of(data: bytes) -> dict[int, int]:
     return pairs
 
 
+#: From this many characters on a word is encoded by our own heap, not by a library that may be quadratic in it.
+SLOW = 256
+
+
 class Encoder:
-    """Encodes whole texts in Python: used where a text has very long words, and for counting."""
+    """Encodes whole texts in Python: used where a text has long words, and for counting."""
 
     def __init__(self, data: bytes):
         import regex
@@ -67,11 +73,11 @@ class Encoder:
 
         self.data, self.ranks = data, ranks_of(data)
         self.words = regex.compile(PATTERN)
-        self.blanks = re.compile(rf"\s{{{LONG}}}")
+        self.blanks, self.long = re.compile(rf"\s{{{SLOW}}}"), regex.compile(rf"\p{{L}}{{{SLOW}}}|\p{{N}}{{{SLOW}}}|[^\s\p{{L}}\p{{N}}]{{{SLOW}}}|\s{{{SLOW}}}")
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if max(map(len, text.split()), default=0) < LONG and not self.blanks.search(text):
+        if (max(map(len, text.split()), default=0) < SLOW and not self.blanks.search(text)) or not self.long.search(text):
             return self.fast.encode_ordinary(text)
         return [i for word in self.words.findall(text) for i in self.word(word.encode())]
 

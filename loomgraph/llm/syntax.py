@@ -519,6 +519,8 @@ def first_error(name: str, content: bytes) -> int:
         return language(name).check(text)
     except LexError as e:
         return e.at
+    except RecursionError:  # nested tens of thousands deep: no compiler would take it either
+        return 0
 
 
 def judged(files: DataFrame, languages: dict[str, str], path: str = "path", repo: str = "repo", ext: str = "ext", content: str = "content") -> DataFrame:

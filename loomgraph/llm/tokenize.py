@@ -8,24 +8,32 @@ vocabulary are constant maps in buckets (an array indexed by a hash, a map of a
 entries in each place), bounded by the tokenizer's file; session variables hold them and
 Catalyst folds them into literals.  No shuffle: a text
 is encoded where it lies.  Texts are taken in stretches of ``STRETCH`` words, so the
-cost is linear in a text's length.  Texts with a run of 256 or more characters that may
-be one word (the fold is quadratic in a word's length) take an exact way through
-Python, where a heap does the merges.
+cost is linear in a text's length.  Texts with long runs without a blank may hold long
+words, in which a fold is quadratic; they take an exact way through Python.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.bpe import JAVA_PATTERN, LONG, encoder, pairs_of, ranks_of, read_vocabulary, vocabulary_path
+from loomgraph.llm.bpe import JAVA_PATTERN, MAY_BE_LONG, encoder, pairs_of, ranks_of, read_vocabulary, vocabulary_path
 
 STRETCH = 4096
+#: Words that are no tokens but frequent in the first SAMPLE rows are spelled once and put beside the tokens, FREQUENT of
+#: them at most.  That saves folds; every other word is folded where it stands, so no result depends on the sample.
+SAMPLE, FREQUENT = 4_000, 16_384
 WORD_BUCKETS = 1 << 16
 PAIR_BUCKETS = 262_139
 
 
+#: No pair of tokens has this rank; a place that was merged away.
+NO_PAIR, GONE = 2_000_000_000, -1
+
+
 def _word_bucket(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) & (WORD_BUCKETS - 1)  # Spark's xxhash64 of the string
 
@@ -40,21 +48,28 @@ def _variables(spark: SparkSession, tag: str, maps: pa.Table, types: dict[str, s
     return {column: f"{view}_{column}" for column in types}
 
 
-def _maps(data: bytes) -> pa.Table:
-    """One row: byte_ids (id of each byte), words and pairs (maps in buckets)."""
-    ranks, pairs = ranks_of(data), pairs_of(data)
+def _words(data: bytes, spelled: list[tuple[str, list[int]]]) -> pa.Table:
+    """One row: the ids of every word that is a token or among ``spelled``, in maps in buckets."""
     words: list[list] = [[] for _ in range(WORD_BUCKETS)]
-    for token, rank in ranks.items():
+    for token, rank in ranks_of(data).items():
         try:
-            words[_word_bucket(token)].append((token.decode(), rank))
+            words[_word_bucket(token)].append((token.decode(), [rank]))
         except UnicodeDecodeError:
             pass  # no word of a text can be half a character
+    for word, ids in spelled:
+        words[_word_bucket(word.encode())].append((word, ids))
+    return pa.table({"words": pa.array([words], pa.list_(pa.map_(pa.string(), pa.list_(pa.int32()))))})
+
+
+def _maps(data: bytes) -> pa.Table:
+    """One row: byte_ids (id of each byte), byte_pairs (id of each two bytes or NO_PAIR), pairs (maps in buckets)."""
+    ranks, pairs = ranks_of(data), pairs_of(data)
     held: list[list] = [[] for _ in range(PAIR_BUCKETS)]
     for pair, rank in pairs.items():
         held[pair % PAIR_BUCKETS].append((pair, rank))
     columns = {
         "byte_ids": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32())),
-        "words": pa.array([words], pa.list_(pa.map_(pa.string(), pa.int32()))),
+        "byte_pairs": pa.array([[ranks.get(bytes([a, b]), NO_PAIR) for a in range(256) for b in range(256)]], pa.list_(pa.int32())),
         "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int32()))),
     }
     return pa.table(columns)
@@ -65,36 +80,41 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _pair(left: str, right: str) -> str:
+    """The id of two neighbouring tokens' bytes together, or NO_PAIR."""
     key = f"({left} * 65536L + {right})"
-    return f"element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key})"
+    return f"coalesce(element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key}), {NO_PAIR})"
 
 
 def _fold(word: str) -> str:
-    """The ids of a word that is no token."""
-    ids = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> get(m.byte_ids, ascii(c)))"
-    ranks = f"zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b) - 1), (x, y) -> {_pair('x', 'y')})"
-    left = f"slice(array({_pair('get(a.ids, p - 2)', 'low')}), 1, if(p > 1, 1, 0))"
-    right = f"slice(array({_pair('low', 'get(a.ids, p + 1)')}), 1, if(p + 1 < size(a.ids), 1, 0))"
-    merged = f"""named_struct(
-      'ids', concat(slice(a.ids, 1, p - 1), array(low), slice(a.ids, p + 2, size(a.ids))),
-      'ranks', concat(slice(a.ranks, 1, greatest(p - 2, 0)), {left}, {right}, slice(a.ranks, p + 2, size(a.ids))))"""
-    step = _let("array_min(a.ranks)", "low", f"if(low is null, a, {_let('cast(array_position(a.ranks, low) as int)', 'p', merged)})")
-    return _let(ids, "b", f"aggregate(sequence(2, size(b)), named_struct('ids', b, 'ranks', {ranks}), (a, step) -> {step}, a -> a.ids)")
+    """The ids of a word that is no token: every step merges the lowest rank, leftmost first, until no pair is left."""
+    codes = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> ascii(c))"
+    ids = "transform(b, c -> get(m.byte_ids, c))"
+    ranks = "zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b) - 1), (x, y) -> get(m.byte_pairs, x * 256 + y))"
+    # p: place of the pair (from 0); ids keep one token more than there are ranks
+    merged_ids = f"filter(transform(a.ids, (x, i) -> if(i = p, low, if(i = p + 1, {GONE}, x))), x -> x <> {GONE})"
+    merged_ranks = f"filter(transform(a.ranks, (r, i) -> case when i = p then {GONE} when i = p - 1 then {_pair('get(a.ids, i)', 'low')} when i = p + 1 then {_pair('low', 'get(a.ids, i + 1)')} else r end), r -> r <> {GONE})"
+    merged = f"named_struct('ids', {merged_ids}, 'ranks', {merged_ranks})"
+    step = _let("array_min(a.ranks)", "low", f"if(low is null or low = {NO_PAIR}, a, {_let('cast(array_position(a.ranks, low) - 1 as int)', 'p', merged)})")
+    return _let(codes, "b", f"aggregate(sequence(2, size(b)), named_struct('ids', {ids}, 'ranks', {ranks}), (a, step) -> {step}, a -> a.ids)")
 
 
 def _token(word: str) -> str:
     return f"element_at(get(m.words, cast(xxhash64({word}) & {WORD_BUCKETS - 1} as int)), {word})"
 
 
+def _cut(text: str) -> str:
+    return f"regexp_extract_all({text}, r\"{JAVA_PATTERN}\", 0)"
+
+
 def _encode_sql(text: str) -> str:
     """Ids of a text; ``m`` is the struct of constant maps."""
-    rest = f"filter(array_distinct(ws), w -> {_token('w')} is null)"
+    known = f"transform(ws, w -> {_token('w')})"
+    rest = "array_distinct(filter(ws, (w, i) -> get(r, i) is null))"
     spelled = f"map_from_arrays(d, transform(d, w -> {_fold('w')}))"
-    each = f"flatten(transform(ws, w -> {_let(_token('w'), 'id', 'if(id is null, element_at(o, w), array(id))')}))"
-    stretch = _let(rest, "d", _let(spelled, "o", each))
-    words = f"regexp_extract_all({text}, r\"{JAVA_PATTERN}\", 0)"
+    each = "flatten(transform(r, (x, i) -> coalesce(x, element_at(o, get(ws, i)))))"
+    stretch = _let(known, "r", _let(rest, "d", _let(spelled, "o", each)))
     stretches = f"transform(sequence(0, (size(all) - 1) div {STRETCH}), i -> slice(all, cast(i * {STRETCH} + 1 as int), {STRETCH}))"
-    return _let(words, "all", f"flatten(transform({stretches}, ws -> {stretch}))")
+    return _let(_cut(text), "all", f"flatten(transform({stretches}, ws -> {stretch}))")
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -106,16 +126,23 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     data = read_vocabulary(path or vocabulary_path())
     spark = documents.sparkSession
-    names = _variables(spark, f"bpe_{xxhash.xxh32_hexdigest(data)}", _maps(data), {"byte_ids": "ARRAY<INT>", "words": "ARRAY<MAP<STRING, INT>>", "pairs": "ARRAY<MAP<BIGINT, INT>>"})
     rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
-    long = F.coalesce(F.col("t").rlike(rf"\S{{{LONG}}}|\s{{{LONG}}}"), F.lit(False))
+    long = F.coalesce(F.col("t").rlike(MAY_BE_LONG), F.lit(False))
+    tag = f"bpe_{xxhash.xxh32_hexdigest(data)}"
+    names = _variables(spark, tag, _maps(data), {"byte_ids": "ARRAY<INT>", "byte_pairs": "ARRAY<INT>", "pairs": "ARRAY<MAP<BIGINT, INT>>"})
+    names |= _variables(spark, tag, _words(data, []), {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"})
+    m = f"named_struct({', '.join(f"'{c}', {v}" for c, v in names.items())})"
+    first = rows.filter(~long & (F.col("t") != "")).limit(SAMPLE).select(F.explode(F.expr(_let(m, "m", f"filter(array_distinct({_cut('t')}), w -> {_token('w')} is null)"))).alias("w"))
+    top = first.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT)
+    spelled = [(r["w"], list(r["ids"])) for r in top.select("w", F.expr(_let(m, "m", _fold("w"))).alias("ids")).collect()]  # at most FREQUENT rows
+    names |= _variables(spark, f"{tag}_{uuid.uuid4().hex[:12]}", _words(data, spelled), {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"})
     m = f"named_struct({', '.join(f"'{c}', {v}" for c, v in names.items())})"
     ids = F.expr(f"if(t is null, null, if(t = '', cast(array() as array<int>), {_let(m, 'm', _encode_sql('t'))}))")
     usual = rows.filter(~long).select("k", ids.alias("ids"))
 
     def slow(batches):
-        e = encoder(data)
         for b in batches:
+            e = encoder(data)  # made when there is a row
             yield pa.record_batch([b.column(0), pa.array([e.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["k", "ids"])
 
     kind = rows.schema["k"].dataType.simpleString()

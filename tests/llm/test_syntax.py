@@ -100,6 +100,7 @@ def test_grammars_by_hand():
 
 def test_deep_and_large():
     assert first_error("json", ("[" * 3000 + "]" * 3000).encode()) == -1
+    assert first_error("json", ("[" * 300_000 + "]" * 300_000).encode()) == 0
     assert first_error("javascript", ("x = " + "(" * 400 + "1" + ")" * 400).encode()) == -1
     assert first_error("c", ("int f() { return " + " + ".join(["a"] * 20000) + "; }").encode()) == -1
 
