@@ -18,6 +18,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.workspace import spread
+
 #: Extension -> language.
 EXTENSIONS = {
     "py": "python", "rs": "rust", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
@@ -233,4 +235,4 @@ def code_facts(files: DataFrame) -> DataFrame:
                 out += facts(path, EXTENSIONS[ext], text)
             yield pa.record_batch([pa.array([x[i] for x in out], pa.string()) for i in range(3)], names=["s", "p", "o"])
 
-    return rows.mapInArrow(run, "s string, p string, o string")
+    return spread(rows).mapInArrow(run, "s string, p string, o string")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.operators.code import EXTENSIONS
+from loomgraph.workspace import spread
 
 #: Extensions searched for a language (headers of C++ named hpp are not).
 SEARCHED = {lang: [e for e, x in EXTENSIONS.items() if x == lang and e != "hpp"] for lang in dict.fromkeys(EXTENSIONS.values())}
@@ -122,5 +123,5 @@ def search(files: DataFrame, pattern: str, language: str, exclude: list[str] | N
             out = [(path, line, text) for path, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for line, text in find(c, pattern, name)]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["file", "line", "text"])
 
-    found = rows.select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, "file string, line int, text string")
+    found = spread(rows.select("path", F.col("content").cast("string").alias("content"))).mapInArrow(run, "file string, line int, text string")
     return found if limit is None else found.orderBy("file", "line", "text").limit(limit)

@@ -186,9 +186,9 @@ _add("commit_facts", lambda spark, d: gitlog.commit_facts(table(spark, d, "commi
 _INFO = f"""WITH t AS (SELECT DISTINCT seq, hash, file FROM commit_files WHERE file IS NOT NULL), c AS (SELECT DISTINCT seq, hash, author, date FROM commits),
   j AS (SELECT {_SAFE_OF('file')} AS file, seq, {_SAFE_OF('author')} AS author, {_SAFE_OF('date')} AS date FROM t JOIN c USING (seq, hash))"""
 _add("file_git_info", lambda spark, d: gitlog.file_git_info(table(spark, d, "commits"), table(spark, d, "commit_files")).withColumn("contributors", F.concat_ws("|", "contributors")),
-     f"{_INFO} SELECT file, arg_min(author, seq) FILTER (author IS NOT NULL) AS last_author, arg_min(date, seq) AS last_date, count(*) AS commit_count, coalesce(string_agg(DISTINCT author, '|' ORDER BY author), '') AS contributors FROM j GROUP BY file")
+     f"{_INFO} SELECT file, first(author ORDER BY seq) AS last_author, first(date ORDER BY seq) AS last_date, count(*) AS commit_count, coalesce(string_agg(DISTINCT author, '|' ORDER BY author), '') AS contributors FROM j GROUP BY file")
 _add("history_facts", lambda spark, d: analytics.graph(gitlog.history_facts(table(spark, d, "commits"), table(spark, d, "commit_files"))),
-     f"""{_INFO}, i AS (SELECT file, arg_min(author, seq) FILTER (author IS NOT NULL) AS la, arg_min(date, seq) AS ld, count(*) AS n FROM j GROUP BY file)
+     f"""{_INFO}, i AS (SELECT file, first(author ORDER BY seq) AS la, first(date ORDER BY seq) AS ld, count(*) AS n FROM j GROUP BY file)
   SELECT DISTINCT s, p, o FROM (SELECT * FROM ({_COMMIT}) UNION ALL SELECT {_SAFE_OF('hash')}, 'commitTouches', {_SAFE_OF('file')} FROM commit_files WHERE hash IS NOT NULL AND file IS NOT NULL
     UNION ALL SELECT file, 'lastModifiedBy', la FROM i UNION ALL SELECT file, 'lastModifiedDate', ld FROM i UNION ALL SELECT file, 'commitCount', CAST(n AS VARCHAR) FROM i UNION ALL SELECT file, 'contributedBy', author FROM j) WHERE o IS NOT NULL""")
 

@@ -24,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for work that is heavy for its bytes: dealt out anew where the scan gives fewer partitions than there are cores.
+
+    That is so for small tables only (or few, huge row groups); a large table is worked on
+    where it is read and is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 class Workspace:
     """Hands out tables for one run of an operator and deletes them."""
 
