@@ -16,6 +16,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.workspace import spread
+
 # -- fixed values -----------------------------------------------------------------
 #: A notice: all of these phrases in the leading comments (letter case and runs of blanks ignored).
 NOTICES = (
@@ -201,4 +203,4 @@ def not_handwritten(files: DataFrame, languages: dict[str, str], known_texts: li
                     kinds.append(kind)
             yield pa.record_batch([pa.array(paths, pa.string()), pa.array(kinds, pa.string())], names=["path", "kind"])
 
-    return rows.mapInArrow(run, "path string, kind string").groupBy("path").agg(F.min("kind").alias("kind"))
+    return spread(rows).mapInArrow(run, "path string, kind string").groupBy("path").agg(F.min("kind").alias("kind"))

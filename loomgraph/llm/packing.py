@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.bpe import encoder, read_vocabulary, vocabulary_path
-from loomgraph.workspace import Workspace
+from loomgraph.workspace import Workspace, spread
 
 GROUP = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -36,7 +36,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(count, f"k {kind}, n_tokens int").withColumnRenamed("k", key)
+    return spread(rows).mapInArrow(count, f"k {kind}, n_tokens int").withColumnRenamed("k", key)
 
 
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.llm.bpe import encoder, ranks_of, read_vocabulary, vocabulary_path
+from loomgraph.workspace import spread
 
 #: Strong boundaries count from this share of a piece's room on.
 FILL = 0.5
@@ -99,7 +100,7 @@ def marked(documents: DataFrame, least: int, key: str = "doc_id", text: str = "t
 
     rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, t binary, marks string, ends array<int>")
+    return spread(rows).mapInArrow(run, f"k {kind}, t binary, marks string, ends array<int>")
 
 
 def _expression(first: int, further: int) -> str:

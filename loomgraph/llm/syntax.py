@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.peg import Grammar
+from loomgraph.workspace import spread
 
 
 
@@ -545,7 +546,7 @@ def judged(files: DataFrame, languages: dict[str, str], path: str = "path", repo
                 errors.append(None if at < 0 else c.decode("utf-8", "replace").count("\n", 0, at) + 1)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(errors, pa.int32())], names=["path", "repo", "language", "error_line"])
 
-    return rows.mapInArrow(run, "path string, repo string, language string, error_line int").groupBy("path", "repo", "language").agg(F.min("error_line").alias("error_line"))
+    return spread(rows).mapInArrow(run, "path string, repo string, language string, error_line int").groupBy("path", "repo", "language").agg(F.min("error_line").alias("error_line"))
 
 
 def invalid(files: DataFrame, languages: dict[str, str]) -> DataFrame:

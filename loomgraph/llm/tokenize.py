@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.bpe import JAVA_PATTERN, MAY_BE_LONG, encoder, pairs_of, ranks_of, read_vocabulary, vocabulary_path
+from loomgraph.workspace import spread
 
 STRETCH = 4096
 #: Words that are no tokens but frequent in the first SAMPLE rows are spelled once and put beside the tokens, FREQUENT of
@@ -126,7 +127,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     data = read_vocabulary(path or vocabulary_path())
     spark = documents.sparkSession
-    rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
+    rows = spread(documents.select(documents[key].alias("k"), documents[text].alias("t")))
     long = F.coalesce(F.col("t").rlike(MAY_BE_LONG), F.lit(False))
     tag = f"bpe_{xxhash.xxh32_hexdigest(data)}"
     names = _variables(spark, tag, _maps(data), {"byte_ids": "ARRAY<INT>", "byte_pairs": "ARRAY<INT>", "pairs": "ARRAY<MAP<BIGINT, INT>>"})
