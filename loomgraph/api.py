@@ -66,6 +66,10 @@ class CodebaseGraph:
             raise ValueError("nothing has been indexed yet: give a path")
         return self.ingest(path or self.root, exclude)
 
+    def index_repo(self, url: str, folder: str, exclude: list[str] | None = None) -> dict:
+        """Fetches a remote repository (shallow: at most one commit of history) below ``folder`` and indexes it."""
+        return self.ingest(tree.fetch(url, folder), exclude)
+
     def insert(self, s: str, p: str, o: str) -> None:
         """For a few facts; many belong in a DataFrame given to the constructor."""
         self.facts = analytics.graph(self.facts.unionByName(self.spark.createDataFrame([(s, p, o)], self.facts.schema)))
@@ -93,7 +97,7 @@ class CodebaseGraph:
         raise AttributeError(name)
 
     def search_pattern(self, pattern: str, language: str, exclude: list[str] | None = None, limit: int | None = PAGE) -> DataFrame:
-        return search.search(self.files, pattern, language, exclude, limit)
+        return search.search(self.files, pattern, language, exclude, limit, self.root)
 
     def generate_diagram(self, path: str | None = None, depth: int = 0, code_only: bool = True, exclude: list[str] | None = None, limit: int = DIAGRAM) -> str:
         return diagram.render(self.facts, path, depth, code_only, exclude, limit)

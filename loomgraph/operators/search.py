@@ -106,15 +106,17 @@ def find(text: str, pattern: str, language: str) -> list[tuple[int, str]]:
     return out
 
 
-def search(files: DataFrame, pattern: str, language: str, exclude: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """file, line, text of the matches in files of a language; hidden files are left out.
+def search(files: DataFrame, pattern: str, language: str, exclude: list[str] | None = None, limit: int | None = None, root: str | None = None) -> DataFrame:
+    """file, line, text of the matches in files of a language; files hidden below ``root`` are left out.
 
-    ``limit`` is the feature of a first page: the first rows by file and line.
+    ``limit`` is the feature of a first page: the first rows by file and line.  Files whose
+    content is null or not UTF-8 have no matches; an empty pattern matches nothing.
     """
     name = ALIASES.get(language.lower(), language.lower())
     if name not in SEARCHED:
         raise ValueError(f"no language {language!r}")
-    rows = files.filter(F.col("ext").isin(*SEARCHED[name]) & ~F.col("path").rlike(r"(^|/)\.") & F.is_valid_utf8(F.col("content").cast("string")))
+    below = F.col("path") if root is None else F.when(F.col("path").startswith(root), F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))).otherwise(F.col("path"))
+    rows = files.filter(F.col("ext").isin(*SEARCHED[name]) & ~below.rlike(r"(^|/)\.") & F.is_valid_utf8(F.col("content").cast("string")))
     for d in exclude or []:
         rows = rows.filter(~F.col("path").contains(f"/{d}/"))
 

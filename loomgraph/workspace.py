@@ -31,7 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
     where it is read and is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    planned = df._jdf.queryExecution()
+    if planned.executedPlan().nodeName() == "AdaptiveSparkPlan":  # it has a shuffle already; to ask further would run it
+        return df
+    return df.repartition(2 * cores) if planned.toRdd().getNumPartitions() < cores else df
 
 
 class Workspace:

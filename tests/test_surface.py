@@ -126,6 +126,19 @@ def test_pattern_search_over_files(spark, root):
         search.search(tree.read_tree(spark, root), "x", "cobol")
 
 
+def test_hidden_folders_above_the_root_do_not_hide(spark):
+    rows = [("/x/.cache/r/a.py", "a.py", "py", 4, b"f(1)"), ("/x/.cache/r/.h/b.py", "b.py", "py", 4, b"f(2)"), ("/x/.cache/r/c.py", "c.py", "py", None, None)]
+    df = spark.createDataFrame(rows, tree.FILES)
+    assert [r["text"] for r in search.search(df, "f($A)", "python", root="/x/.cache/r").collect()] == ["f(1)"]
+
+
+def test_indexing_a_remote(spark, root, tmp_path):
+    g = CodebaseGraph(spark)
+    for _ in range(2):  # cloned, then pulled
+        assert g.index_repo("file://" + root, str(tmp_path))["distinct_count"] > 0
+    assert g.describe("activity")["total_commits"] == 1
+
+
 def test_log_without_a_checkout(spark, tmp_path):
     commits, touched = tree.read_log(spark, str(tmp_path))
     assert commits.count() == 0 and touched.count() == 0
