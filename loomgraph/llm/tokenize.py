@@ -91,12 +91,14 @@ def _fold(word: str) -> str:
     codes = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> ascii(c))"
     ids = "transform(b, c -> get(m.byte_ids, c))"
     ranks = "zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b) - 1), (x, y) -> get(m.byte_pairs, x * 256 + y))"
-    # p: place of the pair (from 0); ids keep one token more than there are ranks
-    merged_ids = f"filter(transform(a.ids, (x, i) -> if(i = p, low, if(i = p + 1, {GONE}, x))), x -> x <> {GONE})"
-    merged_ranks = f"filter(transform(a.ranks, (r, i) -> case when i = p then {GONE} when i = p - 1 then {_pair('get(a.ids, i)', 'low')} when i = p + 1 then {_pair('low', 'get(a.ids, i + 1)')} else r end), r -> r <> {GONE})"
-    merged = f"named_struct('ids', {merged_ids}, 'ranks', {merged_ranks})"
-    step = _let("array_min(a.ranks)", "low", f"if(low is null or low = {NO_PAIR}, a, {_let('cast(array_position(a.ranks, low) - 1 as int)', 'p', merged)})")
-    return _let(codes, "b", f"aggregate(sequence(2, size(b)), named_struct('ids', {ids}, 'ranks', {ranks}), (a, step) -> {step}, a -> a.ids)")
+    # steps take turns: an even one finds the lowest rank and its place p (from 0), an odd one merges there.  Nothing is bound
+    # by a lambda of its own: the result of every such lambda would be copied, arrays and all
+    merged_ids = f"filter(transform(a.ids, (x, i) -> if(i = a.p, a.low, if(i = a.p + 1, {GONE}, x))), x -> x <> {GONE})"
+    merged_ranks = f"filter(transform(a.ranks, (r, i) -> case when i = a.p then {GONE} when i = a.p - 1 then {_pair('get(a.ids, i)', 'a.low')} when i = a.p + 1 then {_pair('a.low', 'get(a.ids, i + 1)')} else r end), r -> r <> {GONE})"
+    merged = f"named_struct('ids', {merged_ids}, 'ranks', {merged_ranks}, 'low', 0, 'p', 0)"
+    seek = f"named_struct('ids', a.ids, 'ranks', a.ranks, 'low', coalesce(array_min(a.ranks), {NO_PAIR}), 'p', coalesce(cast(array_position(a.ranks, array_min(a.ranks)) - 1 as int), 0))"
+    step = f"if(a.low = {NO_PAIR}, a, if(step % 2 = 0, {seek}, {merged}))"
+    return _let(codes, "b", f"aggregate(sequence(2, 2 * size(b) + 1), named_struct('ids', {ids}, 'ranks', {ranks}, 'low', 0, 'p', 0), (a, step) -> {step}, a -> a.ids)")
 
 
 def _token(word: str) -> str:
