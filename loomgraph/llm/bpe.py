@@ -18,10 +18,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same for Java's regular expressions, where \s would know ASCII only.
 JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]").replace(r"(?!\S)", rf"(?![^{SPACES}])").replace(r"|\s+", rf"|[{SPACES}]+")
-#: A fold is quadratic in a word's length: texts with a run of this many characters that may be one word are encoded
-#: another way.  The second kind of run takes blanks of all sorts together.  No word of 200 bytes or more escapes.
-LONG = 48
-MAY_BE_LONG = rf"(?<!\S)(?:\S{{{LONG}}}|[\s\x80-\uffff]{{{LONG}}})"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:

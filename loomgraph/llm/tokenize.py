@@ -2,107 +2,186 @@
 
 Method: Spark's higher-order functions.  A text is cut into words by the tokenizer's
 own regular expression; words that are tokens are looked up; the other distinct words
-of a stretch of text are folded once each: the word's bytes are an array of ids, and
-every step of the fold merges the adjacent pair with the lowest rank.  Ranks and
-vocabulary are constant maps in buckets (an array indexed by a hash, a map of a few
-entries in each place), bounded by the tokenizer's file; session variables hold them and
-Catalyst folds them into literals.  No shuffle: a text
-is encoded where it lies.  Texts are taken in stretches of ``STRETCH`` words, so the
-cost is linear in a text's length.  Texts with long runs without a blank may hold long
-words, in which a fold is quadratic; they take an exact way through Python.
+of a stretch of text are folded once each over their bytes, every step of the fold
+merging the adjacent pair with the lowest rank.  Ranks and vocabulary are constant
+maps in buckets (an array indexed by a hash, a map of a few entries in each place),
+bounded by the tokenizer's file; Catalyst folds them into literals.  No shuffle and one
+scan: a text is encoded where it lies.
+
+A fold is quadratic in a word's length, so words above ``WINDOW`` bytes are folded in
+blocks: a window is folded, its tokens that begin in the first half are kept, the next
+window begins behind them.  Tokens are the word's encoding exactly if every two
+neighbours, folded on their own, come out as these two; inside a window that holds by
+itself, at every seam it is tested, and a word with a seam that fails is folded whole.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.bpe import JAVA_PATTERN, MAY_BE_LONG, encoder, pairs_of, ranks_of, read_vocabulary, vocabulary_path
+from loomgraph.llm.bpe import JAVA_PATTERN, pairs_of, ranks_of, read_vocabulary, vocabulary_path
 from loomgraph.workspace import spread
 
-STRETCH = 4096
-#: Words that are no tokens but frequent in the first SAMPLE rows are spelled once and put beside the tokens, FREQUENT of
-#: them at most.  That saves folds; every other word is folded where it stands, so no result depends on the sample.
-SAMPLE, FREQUENT = 4_000, 16_384
+#: Words are made distinct in stretches this long: a look-up among a stretch's distinct words is linear in their number.
+STRETCH = 256
+#: Longest word that is folded whole; longer ones go in windows of this many bytes, HALF apart.  No token is longer than
+#: WINDOW - HALF bytes.
+WINDOW, HALF = 512, 256
+#: Words that are no tokens but frequent among the first SAMPLE ones of at most SHORT bytes are spelled once and put beside
+#: the tokens, FREQUENT of them at most.  That saves folds; every other word is folded where it stands, so no result
+#: depends on the sample.
+SAMPLE, SHORT, FREQUENT = 200_000, 48, 16_384
 WORD_BUCKETS = 1 << 16
 PAIR_BUCKETS = 262_139
 
+#: An element of a fold: rank of the token with its right neighbour << 44 | offset of its first byte << 16 | its id.
+RANK, OFFSET, ID, OFFSETS = 44, 16, (1 << 16) - 1, (1 << 28) - 1
+NO_PAIR = 1 << 18 << RANK
 
-#: No pair of tokens has this rank; a place that was merged away.
-NO_PAIR, GONE = 2_000_000_000, -1
+
+def _mixed(h: int, k: int) -> int:
+    k = k * 0xCC9E2D51 & 0xFFFFFFFF
+    h ^= ((k << 15 | k >> 17) & 0xFFFFFFFF) * 0x1B873593 & 0xFFFFFFFF
+    return ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
 
 
 def _word_bucket(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42) & (WORD_BUCKETS - 1)  # Spark's xxhash64 of the string
+    """The place of Spark's ``hash`` of the string: 32-bit Murmur3 whose last bytes are taken one by one."""
+    h, whole = 42, len(word) & ~3
+    for i in range(0, whole, 4):
+        h = _mixed(h, int.from_bytes(word[i : i + 4], "little"))
+    for b in word[whole:]:
+        h = _mixed(h, (b - 256 if b > 127 else b) & 0xFFFFFFFF)
+    h ^= len(word)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return (h ^ h >> 16) & (WORD_BUCKETS - 1)
+
+
+class Constants:
+    """One-row tables as constants of the session's expressions; they leave the session when the block ends.
+
+    A DataFrame made inside keeps their values: Catalyst has put them into its plan.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self.names = spark, f"loomgraph_{uuid.uuid4().hex[:12]}", {}
+
+    def __enter__(self) -> Constants:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in set(self.names.values()):
+            self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+
+    def add(self, table: pa.Table, types: dict[str, str]) -> None:
+        self.spark.createDataFrame(table).createOrReplaceTempView(self.tag)
+        for column, kind in types.items():
+            self.names[column] = name = f"{self.tag}_{column}"
+            self.spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind}")
+            self.spark.sql(f"SET VAR {name} = (SELECT {column} FROM {self.tag})")
+        self.spark.catalog.dropTempView(self.tag)
 
+    def bound(self, body: str) -> str:
+        """``body`` with ``m`` as the struct of all constants."""
+        return _let(f"named_struct({', '.join(f"'{c}', {v}" for c, v in self.names.items())})", "m", body)
 
-def _variables(spark: SparkSession, tag: str, maps: pa.Table, types: dict[str, str]) -> dict[str, str]:
-    """Session variables with the columns of a one-row table; column -> variable."""
-    spark.createDataFrame(maps).createOrReplaceTempView(view := f"loomgraph_{tag}")
-    for column, kind in types.items():
-        spark.sql(f"DECLARE OR REPLACE VARIABLE {view}_{column} {kind}")
-        spark.sql(f"SET VAR {view}_{column} = (SELECT {column} FROM {view})")
-    spark.catalog.dropTempView(view)
-    return {column: f"{view}_{column}" for column in types}
+
+@functools.lru_cache(2)
+def _token_places(data: bytes) -> list[tuple[int, str, int]]:
+    """Bucket, text and id of every token that can be a word of a text (half a character can't)."""
+    return [(_word_bucket(token), token.decode(), rank) for token, rank in ranks_of(data).items() if token.decode(errors="ignore").encode() == token]
 
 
 def _words(data: bytes, spelled: list[tuple[str, list[int]]]) -> pa.Table:
     """One row: the ids of every word that is a token or among ``spelled``, in maps in buckets."""
     words: list[list] = [[] for _ in range(WORD_BUCKETS)]
-    for token, rank in ranks_of(data).items():
-        try:
-            words[_word_bucket(token)].append((token.decode(), [rank]))
-        except UnicodeDecodeError:
-            pass  # no word of a text can be half a character
+    for place, token, rank in _token_places(data):
+        words[place].append((token, [rank]))
     for word, ids in spelled:
         words[_word_bucket(word.encode())].append((word, ids))
     return pa.table({"words": pa.array([words], pa.list_(pa.map_(pa.string(), pa.list_(pa.int32()))))})
 
 
-def _maps(data: bytes) -> pa.Table:
-    """One row: byte_ids (id of each byte), byte_pairs (id of each two bytes or NO_PAIR), pairs (maps in buckets)."""
+@functools.lru_cache(2)
+def _ranks(data: bytes) -> pa.Table:
+    """One row: starts (element of each byte before each byte, or before the end), pairs (shifted ranks, maps in buckets)."""
     ranks, pairs = ranks_of(data), pairs_of(data)
     held: list[list] = [[] for _ in range(PAIR_BUCKETS)]
     for pair, rank in pairs.items():
-        held[pair % PAIR_BUCKETS].append((pair, rank))
-    columns = {
-        "byte_ids": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32())),
-        "byte_pairs": pa.array([[ranks.get(bytes([a, b]), NO_PAIR) for a in range(256) for b in range(256)]], pa.list_(pa.int32())),
-        "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int32()))),
-    }
-    return pa.table(columns)
+        held[pair % PAIR_BUCKETS].append((pair, rank << RANK))
+    rank = lambda a, b: ranks[x] << RANK if (x := bytes([a, b])) in ranks else NO_PAIR
+    starts = [(rank(a, b) if b < 256 else NO_PAIR) | ranks[bytes([a])] for a in range(256) for b in range(257)]
+    return pa.table({"starts": pa.array([starts], pa.list_(pa.int64())), "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int64())))})
+
+
+WORDS_TYPE = {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"}
+RANKS_TYPES = {"starts": "ARRAY<BIGINT>", "pairs": "ARRAY<MAP<BIGINT, BIGINT>>"}
 
 
 def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _pair(left: str, right: str) -> str:
-    """The id of two neighbouring tokens' bytes together, or NO_PAIR."""
+def _rank(left: str, right: str) -> str:
+    """The shifted rank of two neighbouring tokens, or NO_PAIR."""
     key = f"({left} * 65536L + {right})"
-    return f"coalesce(element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key}), {NO_PAIR})"
-
-
-def _fold(word: str) -> str:
-    """The ids of a word that is no token: every step merges the lowest rank, leftmost first, until no pair is left."""
+    return f"coalesce(element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key}), {NO_PAIR}L)"
+
+
+def _begin(element: str) -> str:
+    return f"cast(shiftright({element}, {OFFSET}) & {OFFSETS} as int)"
+
+
+def _ids(elements: str) -> str:
+    return f"transform({elements}, e -> cast(e & {ID} as int))"
+
+
+def _fold(codes: str) -> str:
+    """The elements left of an array of bytes (a name): every step merges the lowest rank, leftmost first, until no pair is left."""
+    first = f"transform({codes}, (c, i) -> get(m.starts, c * 257 + coalesce(get({codes}, i + 1), 256)) + i * {1 << OFFSET}L)"
+    # steps take turns: an even one finds the lowest element and its place p (from 1), an odd one merges there.  Nothing is
+    # bound by a lambda of its own: the result of every such lambda would be copied, arrays and all
+    seek = f"named_struct('x', a.x, 'low', array_min(a.x), 'p', if(array_min(a.x) >= {NO_PAIR}L, -1, cast(array_position(a.x, array_min(a.x)) as int)))"
+    token, before, behind = f"shiftright(a.low, {RANK})", "get(a.x, a.p - 2)", "get(a.x, a.p + 1)"
+    merged = f"({_rank(token, f'({behind} & {ID})')} | (a.low & {OFFSETS << OFFSET}L) | {token})"
+    beside = f"({_rank(f'({before} & {ID})', token)} | ({before} & {(1 << RANK) - 1}L))"
+    joined = f"concat(slice(a.x, 1, greatest(a.p - 2, 0)), if(a.p > 1, array({beside}, {merged}), array({merged})), slice(a.x, a.p + 2, size(a.x)))"
+    step = f"if(a.p < 0, a, if(step % 2 = 0, {seek}, named_struct('x', {joined}, 'low', 0L, 'p', 0)))"
+    return f"aggregate(sequence(2, 2 * size({codes}) + 1), named_struct('x', {first}, 'low', 0L, 'p', 0), (a, step) -> {step}, a -> a.x)"
+
+
+def _blocks(codes: str) -> str:
+    """Ids of a long array of bytes (a name), folded in windows; null if a seam fails its test."""
+    n, none = f"size({codes})", "cast(array() as array<bigint>)"
+    at_end = f"(s.pos + {WINDOW} >= {n})"
+    kept = f"if({at_end}, size(s.x), size(filter(s.x, e -> {_begin('e')} < {HALF})))"
+    second = f"coalesce({_begin('get(s.x, 1)')}, {n} - s.pos)"
+    two = _let(f"slice({codes}, s.last + 1, s.pos - s.last + {second})", "u", _let(_fold("u"), "y", f"size(y) = 2 and {_begin('get(y, 1)')} = s.pos - s.last"))
+    fill = f"named_struct('pos', s.pos, 'last', s.last, 'ok', s.ok, 'out', s.out, 'x', {_let(f'slice({codes}, s.pos + 1, {WINDOW})', 'u', _fold('u'))})"
+    take = (
+        f"named_struct('pos', if({at_end}, {n}, s.pos + {_begin(f'get(s.x, {kept})')}), 'last', s.pos + {_begin(f'get(s.x, {kept} - 1)')}, 'ok', s.ok and (s.pos = 0 or {two}),"
+        f" 'out', concat(s.out, array({_ids(f'slice(s.x, 1, {kept})')})), 'x', {none})"
+    )
+    step = f"if(s.pos >= {n} or not s.ok, s, if(turn % 2 = 0, {fill}, {take}))"
+    start = f"named_struct('pos', 0, 'last', 0, 'ok', true, 'out', cast(array() as array<array<int>>), 'x', {none})"
+    return f"aggregate(sequence(2, 2 * ({n} div {HALF} + 1) + 1), {start}, (s, turn) -> {step}, s -> if(s.ok, flatten(s.out), null))"
+
+
+def _spell(word: str) -> str:
+    """The ids of a word that is no token."""
     codes = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> ascii(c))"
-    ids = "transform(b, c -> get(m.byte_ids, c))"
-    ranks = "zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b) - 1), (x, y) -> get(m.byte_pairs, x * 256 + y))"
-    # steps take turns: an even one finds the lowest rank and its place p (from 0), an odd one merges there.  Nothing is bound
-    # by a lambda of its own: the result of every such lambda would be copied, arrays and all
-    merged_ids = f"filter(transform(a.ids, (x, i) -> if(i = a.p, a.low, if(i = a.p + 1, {GONE}, x))), x -> x <> {GONE})"
-    merged_ranks = f"filter(transform(a.ranks, (r, i) -> case when i = a.p then {GONE} when i = a.p - 1 then {_pair('get(a.ids, i)', 'a.low')} when i = a.p + 1 then {_pair('a.low', 'get(a.ids, i + 1)')} else r end), r -> r <> {GONE})"
-    merged = f"named_struct('ids', {merged_ids}, 'ranks', {merged_ranks}, 'low', 0, 'p', 0)"
-    seek = f"named_struct('ids', a.ids, 'ranks', a.ranks, 'low', coalesce(array_min(a.ranks), {NO_PAIR}), 'p', coalesce(cast(array_position(a.ranks, array_min(a.ranks)) - 1 as int), 0))"
-    step = f"if(a.low = {NO_PAIR}, a, if(step % 2 = 0, {seek}, {merged}))"
-    return _let(codes, "b", f"aggregate(sequence(2, 2 * size(b) + 1), named_struct('ids', {ids}, 'ranks', {ranks}, 'low', 0, 'p', 0), (a, step) -> {step}, a -> a.ids)")
+    whole = _ids(_fold("b"))
+    return _let(codes, "b", f"if(size(b) <= {WINDOW}, {whole}, coalesce({_blocks('b')}, {whole}))")
 
 
 def _token(word: str) -> str:
-    return f"element_at(get(m.words, cast(xxhash64({word}) & {WORD_BUCKETS - 1} as int)), {word})"
+    return f"element_at(get(m.words, hash({word}) & {WORD_BUCKETS - 1}), {word})"
 
 
 def _cut(text: str) -> str:
@@ -113,7 +192,7 @@ def _encode_sql(text: str) -> str:
     """Ids of a text; ``m`` is the struct of constant maps."""
     known = f"transform(ws, w -> {_token('w')})"
     rest = "array_distinct(filter(ws, (w, i) -> get(r, i) is null))"
-    spelled = f"map_from_arrays(d, transform(d, w -> {_fold('w')}))"
+    spelled = f"map_from_arrays(d, transform(d, w -> {_spell('w')}))"
     each = "flatten(transform(r, (x, i) -> coalesce(x, element_at(o, get(ws, i)))))"
     stretch = _let(known, "r", _let(rest, "d", _let(spelled, "o", each)))
     stretches = f"transform(sequence(0, (size(all) - 1) div {STRETCH}), i -> slice(all, cast(i * {STRETCH} + 1 as int), {STRETCH}))"
@@ -128,36 +207,28 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     ones too; other columns are ignored.
     """
     data = read_vocabulary(path or vocabulary_path())
-    spark = documents.sparkSession
-    rows = spread(documents.select(documents[key].alias("k"), documents[text].alias("t")))
-    long = F.coalesce(F.col("t").rlike(MAY_BE_LONG), F.lit(False))
-    tag = f"bpe_{xxhash.xxh32_hexdigest(data)}"
-    names = _variables(spark, tag, _maps(data), {"byte_ids": "ARRAY<INT>", "byte_pairs": "ARRAY<INT>", "pairs": "ARRAY<MAP<BIGINT, INT>>"})
-    names |= _variables(spark, tag, _words(data, []), {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"})
-    m = f"named_struct({', '.join(f"'{c}', {v}" for c, v in names.items())})"
-    first = rows.filter(~long & (F.col("t") != "")).limit(SAMPLE).select(F.explode(F.expr(_let(m, "m", f"filter(array_distinct({_cut('t')}), w -> {_token('w')} is null)"))).alias("w"))
-    top = first.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT)
-    spelled = [(r["w"], list(r["ids"])) for r in top.select("w", F.expr(_let(m, "m", _fold("w"))).alias("ids")).collect()]  # at most FREQUENT rows
-    names |= _variables(spark, f"{tag}_{uuid.uuid4().hex[:12]}", _words(data, spelled), {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"})
-    m = f"named_struct({', '.join(f"'{c}', {v}" for c, v in names.items())})"
-    ids = F.expr(f"if(t is null, null, if(t = '', cast(array() as array<int>), {_let(m, 'm', _encode_sql('t'))}))")
-    usual = rows.filter(~long).select("k", ids.alias("ids"))
-
-    def slow(batches):
-        for b in batches:
-            e = encoder(data)  # made when there is a row
-            yield pa.record_batch([b.column(0), pa.array([e.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["k", "ids"])
-
-    kind = rows.schema["k"].dataType.simpleString()
-    exact = rows.filter(long).mapInArrow(slow, f"k {kind}, ids array<int>")
-    return usual.unionByName(exact).select(F.col("k").alias(key), "ids")
+    if max(map(len, ranks_of(data))) > WINDOW - HALF:
+        raise ValueError(f"tokens of at most {WINDOW - HALF} bytes are expected")
+    rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
+    with Constants(documents.sparkSession) as constants:
+        constants.add(_ranks(data), RANKS_TYPES)
+        constants.add(_words(data, []), WORDS_TYPE)
+        some = f"filter(array_distinct({_cut('t')}), w -> octet_length(w) <= {SHORT} and {_token('w')} is null)"
+        # the limit stops the scan after its first rows; SAMPLE words of SHORT bytes at most reach the driver
+        seen = Counter(r[0] for r in rows.filter("t <> ''").select(F.explode(F.expr(constants.bound(some)))).limit(SAMPLE).collect())
+        top = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))[:FREQUENT]
+        if top:
+            words = spread(documents.sparkSession.createDataFrame(pa.table({"w": top})))
+            constants.add(_words(data, [(r["w"], list(r["ids"])) for r in words.select("w", F.expr(constants.bound(_spell("w"))).alias("ids")).collect()]), WORDS_TYPE)
+        ids = f"if(t is null, null, if(t = '', cast(array() as array<int>), {constants.bound(_encode_sql('t'))}))"
+        return spread(rows).select(F.col("k").alias(key), F.expr(ids).alias("ids"))
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``key`` and ``text``: the tokens' binary pieces concatenated; null for null ids."""
-    data, spark = read_vocabulary(path or vocabulary_path()), encoded.sparkSession
+    data = read_vocabulary(path or vocabulary_path())
     pieces = [t for t, _ in sorted(ranks_of(data).items(), key=lambda x: x[1])]
-    held = pa.table({"pieces": pa.array([pieces], pa.list_(pa.binary()))})
-    variable = _variables(spark, f"pieces_{xxhash.xxh32_hexdigest(data)}", held, {"pieces": "ARRAY<BINARY>"})["pieces"]
-    joined = _let(variable, "m", f"decode(unhex(array_join(transform(`{ids}`, i -> hex(get(m, i))), '')), 'UTF-8')")
-    return encoded.select(key, F.expr(f"if(`{ids}` is null, null, {joined})").alias("text"))
+    with Constants(encoded.sparkSession) as constants:
+        constants.add(pa.table({"pieces": pa.array([pieces], pa.list_(pa.binary()))}), {"pieces": "ARRAY<BINARY>"})
+        joined = constants.bound(f"decode(unhex(array_join(transform(`{ids}`, i -> hex(get(m.pieces, i))), '')), 'UTF-8')")
+        return encoded.select(key, F.expr(f"if(`{ids}` is null, null, {joined})").alias("text"))

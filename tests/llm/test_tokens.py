@@ -48,6 +48,29 @@ def test_ids_without_the_cache_of_frequent_words(spark, enc, corpus, monkeypatch
     assert all(got[k] == (None if t is None else enc.fast.encode_ordinary(t)) for k, t in corpus[:40])
 
 
+def test_long_words_in_blocks(spark, enc, monkeypatch):
+    """Words above a window: folded in blocks with seams, and whole where a seam fails its test."""
+    r = random.Random(3)
+    words = ["q" * 5000, "".join(r.choice("abcdefgh") for _ in range(6000)), "".join(r.choice("漢字の仮名交じり文です") for _ in range(700)), "-=" * 900, "ab" * 255 + "c", "ab" * 256 + "c", "é" * 257]
+    rows = [(i, "see " + w + " end") for i, w in enumerate(words)]
+    got = {x["doc_id"]: x["ids"] for x in tokenize.encode(frame(spark, rows)).collect()}
+    assert all(got[k] == enc.encode(t) for k, t in rows)
+    monkeypatch.setattr(tokenize, "_blocks", lambda codes: "cast(null as array<int>)")
+    got = {x["doc_id"]: x["ids"] for x in tokenize.encode(frame(spark, rows[3:])).collect()}
+    assert all(got[k] == enc.encode(t) for k, t in rows[3:])
+
+
+def test_constants_leave_the_session(spark, corpus):
+    tokenize.encode(frame(spark, corpus[:5]))
+    assert not [r for r in spark.sql("SHOW VIEWS").collect() if r["viewName"].startswith("loomgraph")]
+
+
+def test_buckets_are_those_of_the_hash(spark):
+    words = [t for t in TEXTS if t]
+    got = [r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr(f"hash(w) & {tokenize.WORD_BUCKETS - 1} AS h").collect()]
+    assert got == [tokenize._word_bucket(w.encode()) for w in words]
+
+
 def test_no_documents_and_repeated_rows(spark, corpus):
     assert tokenize.encode(frame(spark, [])).count() == 0
     assert tokenize.encode(frame(spark, [(1, "a b"), (1, "a b"), (None, "c")])).count() == 3
