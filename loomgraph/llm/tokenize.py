@@ -39,8 +39,8 @@ SAMPLE, SHORT, FREQUENT = 200_000, 48, 16_384
 WORD_BUCKETS = 1 << 16
 PAIR_BUCKETS = 262_139
 
-#: An element of a fold: rank of the token with its right neighbour << 44 | offset of its first byte << 16 | its id.
-RANK, OFFSET, ID, OFFSETS = 44, 16, (1 << 16) - 1, (1 << 28) - 1
+#: An element of a fold: rank of the token with its right neighbour << 44 | room for its place << 16 | its id.
+RANK, PLACE, ID, PLACES = 44, 16, (1 << 16) - 1, (1 << 28) - 1
 NO_PAIR = 1 << 18 << RANK
 
 
@@ -110,18 +110,22 @@ def _words(data: bytes, spelled: list[tuple[str, list[int]]]) -> pa.Table:
 
 @functools.lru_cache(2)
 def _ranks(data: bytes) -> pa.Table:
-    """One row: starts (element of each byte before each byte, or before the end), pairs (shifted ranks, maps in buckets)."""
+    """One row: starts (element of each byte before each byte, or before the end), pairs (shifted ranks, maps in buckets), lengths."""
     ranks, pairs = ranks_of(data), pairs_of(data)
     held: list[list] = [[] for _ in range(PAIR_BUCKETS)]
     for pair, rank in pairs.items():
         held[pair % PAIR_BUCKETS].append((pair, rank << RANK))
     rank = lambda a, b: ranks[x] << RANK if (x := bytes([a, b])) in ranks else NO_PAIR
     starts = [(rank(a, b) if b < 256 else NO_PAIR) | ranks[bytes([a])] for a in range(256) for b in range(257)]
-    return pa.table({"starts": pa.array([starts], pa.list_(pa.int64())), "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int64())))})
+    lengths = [0] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        lengths[i] = len(token)
+    columns = {"starts": pa.array([starts], pa.list_(pa.int64())), "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int64()))), "lengths": pa.array([lengths], pa.list_(pa.int32()))}
+    return pa.table(columns)
 
 
 WORDS_TYPE = {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"}
-RANKS_TYPES = {"starts": "ARRAY<BIGINT>", "pairs": "ARRAY<MAP<BIGINT, BIGINT>>"}
+RANKS_TYPES = {"starts": "ARRAY<BIGINT>", "pairs": "ARRAY<MAP<BIGINT, BIGINT>>", "lengths": "ARRAY<INT>"}
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -134,43 +138,49 @@ def _rank(left: str, right: str) -> str:
     return f"coalesce(element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key}), {NO_PAIR}L)"
 
 
-def _begin(element: str) -> str:
-    return f"cast(shiftright({element}, {OFFSET}) & {OFFSETS} as int)"
-
-
 def _ids(elements: str) -> str:
     return f"transform({elements}, e -> cast(e & {ID} as int))"
 
 
+def _length(element: str) -> str:
+    return f"get(m.lengths, cast({element} & {ID} as int))"
+
+
 def _fold(codes: str) -> str:
     """The elements left of an array of bytes (a name): every step merges the lowest rank, leftmost first, until no pair is left."""
-    first = f"transform({codes}, (c, i) -> get(m.starts, c * 257 + coalesce(get({codes}, i + 1), 256)) + i * {1 << OFFSET}L)"
-    # steps take turns: an even one finds the lowest element and its place p (from 1), an odd one merges there.  Nothing is
-    # bound by a lambda of its own: the result of every such lambda would be copied, arrays and all
-    seek = f"named_struct('x', a.x, 'low', array_min(a.x), 'p', if(array_min(a.x) >= {NO_PAIR}L, -1, cast(array_position(a.x, array_min(a.x)) as int)))"
-    token, before, behind = f"shiftright(a.low, {RANK})", "get(a.x, a.p - 2)", "get(a.x, a.p + 1)"
-    merged = f"({_rank(token, f'({behind} & {ID})')} | (a.low & {OFFSETS << OFFSET}L) | {token})"
-    beside = f"({_rank(f'({before} & {ID})', token)} | ({before} & {(1 << RANK) - 1}L))"
-    joined = f"concat(slice(a.x, 1, greatest(a.p - 2, 0)), if(a.p > 1, array({beside}, {merged}), array({merged})), slice(a.x, a.p + 2, size(a.x)))"
-    step = f"if(a.p < 0, a, if(step % 2 = 0, {seek}, named_struct('x', {joined}, 'low', 0L, 'p', 0)))"
-    return f"aggregate(sequence(2, 2 * size({codes}) + 1), named_struct('x', {first}, 'low', 0L, 'p', 0), (a, step) -> {step}, a -> a.x)"
+    first = f"transform({codes}, (c, i) -> get(m.starts, c * 257 + coalesce(get({codes}, i + 1), 256)))"
+    # steps take turns: one finds the lowest element with its place, the next merges there.  Nothing is bound by a lambda of
+    # its own: the result of every such lambda would be copied, arrays and all.  array_position would find the place too, but
+    # it leaves its loop by an exception
+    seek = f"named_struct('x', a.x, 'low', array_min(transform(a.x, (e, i) -> e + i * {1 << PLACE}L)))"
+    place, token = f"cast(shiftright(a.low, {PLACE}) & {PLACES} as int)", f"shiftright(a.low, {RANK})"
+    before, behind = f"get(a.x, {place} - 1)", f"get(a.x, {place} + 2)"
+    merged = f"({_rank(token, f'({behind} & {ID})')} | {token})"
+    beside = f"({_rank(f'({before} & {ID})', token)} | ({before} & {ID}))"
+    joined = f"flatten(array(slice(a.x, 1, greatest({place} - 1, 0)), if({place} > 0, array({beside}, {merged}), array({merged})), slice(a.x, {place} + 3, size(a.x))))"
+    step = f"if(a.low >= {NO_PAIR}L, a, if(a.low < 0, {seek}, named_struct('x', {joined}, 'low', -1L)))"
+    return f"aggregate(sequence(2, 2 * size({codes})), named_struct('x', {first}, 'low', -1L), (a, step) -> {step}, a -> a.x)"
 
 
 def _blocks(codes: str) -> str:
     """Ids of a long array of bytes (a name), folded in windows; null if a seam fails its test."""
-    n, none = f"size({codes})", "cast(array() as array<bigint>)"
-    at_end = f"(s.pos + {WINDOW} >= {n})"
-    kept = f"if({at_end}, size(s.x), size(filter(s.x, e -> {_begin('e')} < {HALF})))"
-    second = f"coalesce({_begin('get(s.x, 1)')}, {n} - s.pos)"
-    two = _let(f"slice({codes}, s.last + 1, s.pos - s.last + {second})", "u", _let(_fold("u"), "y", f"size(y) = 2 and {_begin('get(y, 1)')} = s.pos - s.last"))
-    fill = f"named_struct('pos', s.pos, 'last', s.last, 'ok', s.ok, 'out', s.out, 'x', {_let(f'slice({codes}, s.pos + 1, {WINDOW})', 'u', _fold('u'))})"
-    take = (
-        f"named_struct('pos', if({at_end}, {n}, s.pos + {_begin(f'get(s.x, {kept})')}), 'last', s.pos + {_begin(f'get(s.x, {kept} - 1)')}, 'ok', s.ok and (s.pos = 0 or {two}),"
-        f" 'out', concat(s.out, array({_ids(f'slice(s.x, 1, {kept})')})), 'x', {none})"
+    n, none, nothing = f"size({codes})", "cast(array() as array<bigint>)", "named_struct('n', 0, 'at', 0)"
+
+    def state(pos: str = "s.pos", last: str = "s.last", ok: str = "s.ok", out: str = "s.out", x: str = "s.x", kept: str = "s.kept") -> str:
+        return f"named_struct('pos', {pos}, 'last', {last}, 'ok', {ok}, 'out', {out}, 'x', {x}, 'kept', {kept})"
+
+    fill = state(x=_let(f"slice({codes}, s.pos + 1, {WINDOW})", "u", _fold("u")))
+    begun = f"aggregate(s.x, {nothing}, (a, e) -> if(a.at < {HALF}, named_struct('n', a.n + 1, 'at', a.at + {_length('e')}), a))"
+    count = state(kept=f"if(s.pos + {WINDOW} >= {n}, named_struct('n', size(s.x), 'at', {n} - s.pos), {begun})")
+    own = f"slice({codes}, s.last + 1, s.pos - s.last + {_length('get(s.x, 0)')})"
+    two = _let(own, "u", _let(_fold("u"), "y", f"size(y) = 2 and {_length('get(y, 0)')} = s.pos - s.last"))
+    take = state(
+        "s.pos + s.kept.at", f"s.pos + s.kept.at - {_length('get(s.x, s.kept.n - 1)')}", f"(s.pos = 0 or {two})",
+        f"concat(s.out, array({_ids('slice(s.x, 1, s.kept.n)')}))", none, nothing,
     )
-    step = f"if(s.pos >= {n} or not s.ok, s, if(turn % 2 = 0, {fill}, {take}))"
-    start = f"named_struct('pos', 0, 'last', 0, 'ok', true, 'out', cast(array() as array<array<int>>), 'x', {none})"
-    return f"aggregate(sequence(2, 2 * ({n} div {HALF} + 1) + 1), {start}, (s, turn) -> {step}, s -> if(s.ok, flatten(s.out), null))"
+    step = f"if(s.pos >= {n} or not s.ok, s, case turn % 3 when 0 then {fill} when 1 then {count} else {take} end)"
+    start = state("0", "0", "true", "cast(array() as array<array<int>>)", none, nothing)
+    return f"aggregate(sequence(3, 3 * ({n} div {HALF} + 2) - 1), {start}, (s, turn) -> {step}, s -> if(s.ok, flatten(s.out), null))"
 
 
 def _spell(word: str) -> str:
