@@ -3,7 +3,8 @@
 Every extractor is an array expression over one file's text: a file's facts are computed
 in the row that holds it and exploded once, so extraction is one narrow pass over the
 files with no shuffle.  What a line scanner keeps as state ("inside this section") is a
-regular expression that takes the section as a block.
+split of the text at the lines that begin a section.  No expression repeats a group: the
+JVM's matcher goes one frame deeper for each repetition, and a long file would end it.
 """
 
 from __future__ import annotations
@@ -119,9 +120,14 @@ def yaml(path: Column, text: Column) -> Column:
     return F.concat(F.array(fact(path, "a", F.lit("Config"))), named(path, "declares", F.transform(top, lambda x: trim(F.substring_index(x, ":", 1)))))
 
 
+def _sections(text: Column, begin: str) -> Column:
+    """The text in parts, each beginning with a line at whose start ``begin`` matches (but the first, up to there)."""
+    return F.split(F.concat(F.lit("\n"), text), rf"(?U)\n(?={begin})")
+
+
 def _blocks(text: Column, headers: str) -> Column:
     """The trimmed lines of the sections with one of the headers, up to the next line that begins with [."""
-    blocks = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"(?U)(?<=\n)[^\S\n]*\[(?:{headers})\][^\S\n]*(?=\n|$)((?:\n(?![^\S\n]*\[)[^\n]*)*)"), F.lit(1))
+    blocks = F.filter(_sections(text, r"[^\S\n]*\["), lambda x: x.rlike(rf"(?U)^[^\S\n]*\[(?:{headers})\][^\S\n]*(?:\n|$)"))
     rows = F.flatten(F.transform(blocks, flat_lines))
     return F.filter(rows, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("["))
 
@@ -150,7 +156,8 @@ def pyproject(text: Column) -> Column:
 
 def pom(text: Column) -> Column:
     """group:artifact of every dependency block; the last value on its own line wins."""
-    blocks = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"(?s)\n\s*<dependency>[^\n]*\n((?:(?!\n\s*<dependency>).)*?)(?=\n\s*</dependency>)"), F.lit(1))
+    begun = F.filter(_sections(text, r"[^\S\n]*<dependency>"), lambda x: x.rlike(r"^\s*<dependency>") & x.rlike(r"\n\s*</dependency>"))
+    blocks = F.transform(begun, lambda x: F.regexp_replace(F.split(x, r"\n[^\S\n]*</dependency>")[0], r"^[^\n]*", ""))
 
     def last(block: Column, tag: str) -> Column:
         rows = F.filter(flat_lines(block), lambda x: x.rlike(f"<{tag}>.*</{tag}>"))
@@ -176,8 +183,10 @@ def gradle(text: Column) -> Column:
 
 
 def go_mod(text: Column) -> Column:
-    blocks = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"(?U)\n[^\S\n]*require \([^\n]*((?:\n(?![^\S\n]*\)[^\S\n]*(?:\n|$))[^\n]*)*)"), F.lit(1))
-    inside = F.filter(F.flatten(F.transform(blocks, flat_lines)), lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("require "))
+    begun = F.transform(F.filter(_sections(text, r"[^\S\n]*require \("), lambda x: x.rlike(r"(?U)^[^\S\n]*require \(")), flat_lines)
+    ends = lambda x: F.array_position(x, ")").cast("int")
+    blocks = F.transform(begun, lambda x: F.slice(x, 2, F.when(ends(x) > 0, ends(x) - 2).otherwise(F.size(x) - 1)))
+    inside = F.filter(F.flatten(blocks), lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("require "))
     single = F.filter(flat_lines(text), lambda x: x.startswith("require ") & ~x.contains("("))
     return F.concat(F.transform(inside, lambda x: F.split(x, r"\s+")[0]), F.transform(single, lambda x: F.regexp_extract(x, r"^require\s+(\S+)", 1)))
 
@@ -196,8 +205,9 @@ def composer(text: Column) -> Column:
 
 
 def pubspec(text: Column) -> Column:
-    blocks = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"\n(?:dependencies|dev_dependencies)\s*(?::[^\n]*)?(?=\n|$)((?:\n(?:[ \t][^\n]*|\r?(?=\n|$)))*)"), F.lit(1))
-    rows = F.filter(F.flatten(F.transform(blocks, flat_lines)), lambda x: (x != "") & ~x.startswith("#"))
+    blocks = F.filter(_sections(text, r"[^ \t\r\n]"), lambda x: x.rlike(r"^(?:dependencies|dev_dependencies)[^\S\n]*(?::[^\n]*)?(?:\n|$)"))
+    body = F.transform(F.transform(blocks, flat_lines), lambda x: F.slice(x, 2, F.size(x)))
+    rows = F.filter(F.flatten(body), lambda x: (x != "") & ~x.startswith("#"))
     return F.filter(F.transform(rows, lambda x: trim(F.substring_index(x, ":", 1))), lambda x: ~x.isin("sdk", "flutter"))
 
 
@@ -241,7 +251,8 @@ def rpm_spec(path: Column, text: Column) -> Column:
 
 def debian_control(path: Column, text: Column) -> Column:
     """Depends fields with their continuation lines; the first alternative of each."""
-    fields = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"\n(?:Depends|Build-Depends|Build-Depends-Indep|Recommends|Pre-Depends):((?:[^\n]*)(?:\n[ \t][^\n]*)*)"), F.lit(1))
+    begun = F.filter(_sections(text, r"[^ \t]|$"), lambda x: x.rlike("^(?:Depends|Build-Depends|Build-Depends-Indep|Recommends|Pre-Depends):"))
+    fields = F.transform(begun, lambda x: F.regexp_replace(x, "^[^:]*:", ""))
     items = F.flatten(F.transform(fields, lambda x: F.split(F.regexp_replace(x, "\n", ","), ",")))
     names = F.transform(items, lambda x: F.regexp_replace(F.regexp_extract(F.split(x, r"\|")[0], r"^\s*(\S*)", 1), r"^(\$\{)+", ""))
     packages = F.transform(F.filter(lines(text), lambda x: x.startswith("Package:")), lambda x: trim(F.substring(x, F.lit(9), F.length(x))))

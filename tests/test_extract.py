@@ -147,3 +147,29 @@ def test_facts_of_nothing(spark):
     assert extract.file_facts(empty, list(code.EXTENSIONS)).count() == 0 and code.code_facts(empty).count() == 0
     nulls = spark.createDataFrame([("a/x.md", None, "md", None, None), (None, None, None, None, None)], FILES)
     assert build(nulls).count() == 0
+
+
+LONG = 100_000
+LONG_FILES = {
+    "r/Cargo.toml": "[dependencies]\n" + "\n".join(f'd{i} = "1"' for i in range(LONG)),
+    "r/Pipfile": "[packages]\n" + "\n".join(f'd{i} = "*"' for i in range(LONG)),
+    "r/pyproject.toml": "[tool.poetry.dependencies]\n" + "\n".join(f'd{i} = "1"' for i in range(LONG)),
+    "r/go.mod": "require (\n" + "\n".join(f"\td{i} v1" for i in range(LONG)) + "\n)\n",
+    "r/pubspec.yaml": "dependencies:\n" + "\n".join(f"  d{i}: ^1" for i in range(LONG)) + "\n",
+    "r/debian/control": "Depends: d0,\n" + ",\n".join(f" d{i}" for i in range(1, LONG)) + "\n",
+    "r/pom.xml": "<dependency>\n" + "\n".join(f"<x>{i}</x>" for i in range(LONG)) + "\n<artifactId>d</artifactId>\n</dependency>\n",
+}
+
+
+def test_long_sections(spark):
+    """A section of 100,000 lines is one more file, not the end of the JVM."""
+    got = extract.file_facts(files(spark, LONG_FILES), [], debian=True).filter("p = 'dependsOn'").distinct().groupBy("s").count()
+    assert {r["s"]: r["count"] for r in got.collect()} == {p: 1 if p.endswith("pom.xml") else LONG for p in LONG_FILES}
+
+
+def test_section_borders(spark):
+    assert deps(spark, "r/go.mod", "require (\n\ta v1\nrequire (\n\tb v1\n)\nc v1\n)\n") == {"a", "b"}
+    assert deps(spark, "r/go.mod", "module x\r\nrequire (\r\n\ta v1\r\n)\r\nreplace (\r\n\tz v1\r\n)\r\n") == {"a"}
+    assert deps(spark, "r/pubspec.yaml", "dependencies:\n  a: 1\n\n  b: 1\n# top\n  c: 1\n") == {"a", "b"}
+    assert deps(spark, "r/Cargo.toml", "[dependencies]\na=1\n  [x]\nb=1\n [dependencies] \nc=1\n[dependencies.d]\ne=1") == {"a", "c"}
+    assert deps(spark, "r/debian/control", "Depends: a, b | c\n d\n\n e\nPackage: p\n", debian=True) == {"a", "b", "d"}
