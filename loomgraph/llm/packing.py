@@ -4,6 +4,8 @@ Method: cost-balanced packing.  An item of n tokens costs ``LINEAR * n + QUADRAT
 n * n`` (the linear layers and the attention of a model).  Items are taken in
 descending order, each goes to the container of lowest cost that still has room for
 it; a container is opened beyond the least possible number only when none has room.
+Where that needs more containers than taking the fullest one with room (of equally full
+ones that of lowest cost), the second assignment stands: space comes before balance.
 The corpus is dealt into groups of about ``GROUP`` items by a hash, each group is
 packed on its own: a group has the size distribution of the whole, its leftover is a
 fraction of one container, and no task ever holds more than a group.
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.llm.bpe import encoder, read_vocabulary, vocabulary_path
 from loomgraph.workspace import Workspace, spread
 
+#: Items of a group.  A group's last container stays partly empty: at most one container of each group is lost.
 GROUP = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -41,6 +44,35 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container (0, 1, ...) of each item; ``sizes`` are 1 to ``capacity``, in descending order."""
+    balanced = lowest_cost(sizes, capacity)
+    if len(sizes) == 0 or balanced.max() + 1 <= -(-int(sizes.sum()) // capacity):
+        return balanced
+    tight = least_room(sizes, capacity)
+    return tight if tight.max() < balanced.max() else balanced
+
+
+def least_room(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Each item in the container with the least room that still takes it; of equal ones in that of lowest cost."""
+    by_room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    some, opened = 0, 0  # bit r: there is a container with room r
+    out = np.empty(len(sizes), np.int64)
+    for k, n in enumerate(sizes.tolist()):
+        if fits := some >> n:
+            room = n + (fits & -fits).bit_length() - 1
+            cost, i = heapq.heappop(by_room[room])
+            if not by_room[room]:
+                some &= ~(1 << room)
+        else:
+            room, cost, i = capacity, 0.0, opened
+            opened += 1
+        out[k] = i
+        heapq.heappush(by_room[room - n], (cost + LINEAR * n + QUADRATIC * n * n, i))
+        some |= 1 << (room - n)
+    return out
+
+
+def lowest_cost(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Each item in the container of lowest cost that has room for it."""
     opened = int(-(-int(sizes.sum()) // capacity))
     left = [capacity] * opened
     ready = [(0.0, i) for i in range(opened)]  # by cost: those that may have room

@@ -23,6 +23,8 @@ from loomgraph.workspace import spread
 #: Strong boundaries count from this share of a piece's room on.
 FILL = 0.5
 BATCH_TOKENS = 1 << 22
+#: Offsets are summed up in chunks of so many pieces and over the chunks.
+CHUNK = 128
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -112,10 +114,24 @@ def _expression(first: int, further: int) -> str:
     return f"^(?:{up_to(first)})|(?:{up_to(further)})"
 
 
+def _running_sums(lengths: Column) -> Column:
+    """The sums of the first 1, 2, ... elements.  Building an array step by step copies it at each step, so that is done for short ones only."""
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    grow = lambda a, n: F.concat(a, F.array(last(a) + n))
+    none = F.array().cast("array<int>")
+    chunked = lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(x, c * CHUNK + 1, F.lit(CHUNK)), none, grow)
+    )
+    before = lambda sums: F.slice(F.aggregate(sums, F.array(F.lit(0)), lambda a, x: grow(a, last(x))), F.lit(1), F.size(sums))
+    joined = lambda sums: F.flatten(F.zip_with(sums, before(sums), lambda x, at: F.transform(x, lambda v: v + at)))
+    sums = F.transform(F.array(lengths), chunked)  # bound once, used twice
+    return F.transform(sums, joined)[0]
+
+
 def _pieces(limit_id: int, most: int, overlap: int) -> Column:
     """Array of the pieces of the row's text at one limit; empty if the text is within it."""
     cut = F.transform(F.regexp_extract_all("marks", F.lit(_expression(most, most - overlap)), F.lit(0)), F.length)
-    ends = F.aggregate(cut, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    ends = _running_sums(cut)
     # each step binds what the next one uses more than once: ends -> where the last piece ended -> start -> byte offsets
     spans = F.transform(F.array(ends), lambda z: F.transform(z, lambda end, i: F.struct(i.alias("i"), end.alias("end"), F.when(i > 0, F.get(z, i - 1)).otherwise(F.lit(0)).alias("before"))))[0]
 

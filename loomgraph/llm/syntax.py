@@ -500,6 +500,10 @@ def language(name: str) -> Language:
     return LANGUAGES[name]()
 
 
+#: Frames of the recognisers a character can cost at most: the rules of an expression from the weakest operator to the strongest.
+FRAMES = 64
+
+
 def first_error(name: str, content: bytes) -> int:
     """-1 if the bytes are valid in the language, else the offset (in characters) of the first error."""
     try:
@@ -520,8 +524,15 @@ def first_error(name: str, content: bytes) -> int:
         return language(name).check(text)
     except LexError as e:
         return e.at
-    except RecursionError:  # nested tens of thousands deep: no compiler would take it either
-        return 0
+    except RecursionError:  # nested very deep: once more with room for as many frames as the text can need
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + FRAMES * len(text))
+        try:
+            return language(name).check(text)
+        except LexError as e:
+            return e.at
+        finally:
+            sys.setrecursionlimit(usual)
 
 
 def judged(files: DataFrame, languages: dict[str, str], path: str = "path", repo: str = "repo", ext: str = "ext", content: str = "content") -> DataFrame:
