@@ -49,22 +49,27 @@ class CodebaseGraph:
 
     # -- store
 
-    def ingest(self, root: str, exclude: list[str] | None = None) -> dict:
-        """Reads a source tree and its history: raw_count (facts found) and distinct_count (facts kept)."""
+    def ingest(self, root: str, exclude: list[str] | None = None, commits: int | None = COMMITS) -> dict:
+        """Reads a source tree and its newest ``commits`` (None: all).
+
+        raw_count: facts found; skipped_count: those of them with no subject or object, which can't be stored;
+        distinct_count: facts kept.
+        """
         self.root = os.path.abspath(root)
         files = tree.read_tree(self.spark, self.root, exclude)
-        found = build(files, *tree.read_log(self.spark, self.root, COMMITS)).persist()
+        found = build(files, *tree.read_log(self.spark, self.root, commits)).persist()
         facts = analytics.graph(found).persist()
-        out = {"raw_count": found.count(), "distinct_count": facts.count()}
+        counted = found.agg(F.count("*").alias("n"), F.count_if(F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()).alias("skipped")).first()
+        out = {"raw_count": counted["n"], "skipped_count": counted["skipped"], "distinct_count": facts.count()}
         found.unpersist()
         old, self.facts, self.files = self.facts, facts, files
         old.unpersist()
         return out
 
-    def refresh(self, path: str | None = None, exclude: list[str] | None = None) -> dict:
+    def refresh(self, path: str | None = None, exclude: list[str] | None = None, commits: int | None = COMMITS) -> dict:
         if path is None and self.root is None:
             raise ValueError("nothing has been indexed yet: give a path")
-        return self.ingest(path or self.root, exclude)
+        return self.ingest(path or self.root, exclude, commits)
 
     def index_repo(self, url: str, folder: str, exclude: list[str] | None = None) -> dict:
         """Fetches a remote repository (shallow: at most one commit of history) below ``folder`` and indexes it."""
@@ -117,18 +122,19 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("path")
     parser.add_argument("text", nargs="?", help="a query or a name")
     parser.add_argument("--exclude", action="append", default=[])
+    parser.add_argument("--limit", type=int, default=QUERY_PAGE, help="rows of a page")
+    parser.add_argument("--offset", type=int, default=0, help="where the page begins")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     graph = CodebaseGraph(spark)
     graph.ingest(a.path, a.exclude)
-    rows = lambda df: [r.asDict() for r in df.collect()]
     if a.command == "diagram":
         print(graph.generate_diagram(limit=500))
     elif a.command in ("query", "find", "stats"):
         if a.command != "stats" and not a.text:
             parser.error(f"{a.command} needs a text")
         df = graph.file_stats() if a.command == "stats" else graph.query(a.text) if a.command == "query" else graph.find_symbol(a.text)
-        print(json.dumps(rows(df), indent=2, ensure_ascii=False, default=str))
+        print(json.dumps(page(df, a.limit, a.offset, [] if a.command == "query" else None), indent=2, ensure_ascii=False, default=str))
     else:
         print(json.dumps(graph.describe("project" if a.command == "describe" else a.command), indent=2, ensure_ascii=False))
     return 0

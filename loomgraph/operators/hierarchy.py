@@ -11,9 +11,11 @@ parent that already has them.  What can't be peeled is a node that has become it
 own parent: those nodes stand for the cycles, and all that hangs on them never
 reaches a root.
 
-All tables are keyed by node and hash partitioned; a node with very many children
-only ever appears as a pre-aggregated count.  Descendants are given as rows
-(ancestor, node, distance), never as one list in one row.
+All tables are keyed by node.  A node with very many children appears in the rounds up
+as a pre-aggregated count, and a spliced node is met by its only child's key; on the way
+down the parents with more than a thousandth of all links (a thousand of them at most)
+are joined by broadcast, so their children are not shuffled to one task.  Descendants
+are given as rows (ancestor, node, distance), never as one list in one row.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from loomgraph.workspace import Workspace
 
 CYCLE_DEPTH = -1
 CYCLE_ROOT = ""
+#: A parent with more than this share of all links is joined by broadcast: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1000
 
 
 def edges_from_triples(triples: DataFrame) -> DataFrame:
@@ -39,6 +43,12 @@ def edges_from_triples(triples: DataFrame) -> DataFrame:
     )
 
 
+def dropped_links(links: DataFrame) -> DataFrame:
+    """node, parent: the links left out because the node has a smaller parent too; none in a forest."""
+    several = links.groupBy("node").agg(F.min("parent").alias("kept"), F.max("parent").alias("last")).filter("kept < last")
+    return links.join(several, "node").filter("parent <> kept").select("node", "parent").distinct()
+
+
 def _key(col: Column, r: int) -> Column:
     return F.xxhash64(col, F.lit(r))
 
@@ -48,7 +58,8 @@ class Hierarchy:
 
     ``edges`` has columns ``parent`` and ``child`` (strings).  Null ends are ignored,
     repeated links count once.  If a node is given several parents, the smallest
-    one (in string order) is kept, so the result is defined.  No links: no rows.
+    one (in string order) is kept and the other links are the rows of ``dropped``
+    (node, parent), so no link is lost unsaid.  No links: no rows.
 
     nodes: node, root, depth, subtree_size [, path].  ``depth`` is the number of links
     up to the root, ``path`` an array from the root to the node.  A node whose chain
@@ -58,17 +69,21 @@ class Hierarchy:
     def __init__(self, edges: DataFrame, paths: bool = True, sizes: bool = True):
         self.paths, self.sizes = paths, sizes
         self.ws = Workspace(edges.sparkSession)
-        self.nodes = self._run(edges)
+        self.links = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull()).select(F.col("child").alias("node"), "parent")
+        self.hot: list[str] = []
+        self.nodes = self._run()
+
+    @property
+    def dropped(self) -> DataFrame:
+        return dropped_links(self.links)
 
     # -- bottom up -----------------------------------------------------------------
 
-    def _run(self, edges: DataFrame) -> DataFrame:
-        ws = self.ws
-        links = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull())
+    def _run(self) -> DataFrame:
+        ws, links = self.ws, self.links
         # one shuffle on the node gives every node its parent (null for a root)
         active = (
-            links.select(F.col("child").alias("node"), "parent")
-            .unionByName(links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+            links.unionByName(links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
             .groupBy("node").agg(F.min("parent").alias("parent"))
             .withColumn("w", F.lit(1).cast("bigint"))
         )
@@ -77,6 +92,8 @@ class Hierarchy:
         if self.sizes:  # acc: size of what was peeled below; extra: of spliced nodes above
             active = active.withColumn("acc", F.lit(1).cast("bigint")).withColumn("extra", F.lit(0).cast("bigint"))
         active = ws.cut(active, "active")
+        least = active.count() * HOT_SHARE
+        self.hot = [r[0] for r in active.filter("parent is not null").groupBy("parent").count().filter(F.col("count") > least).select("parent").collect()]
         log: list[DataFrame] = []
         rest = active
         while True:
@@ -104,11 +121,11 @@ class Hierarchy:
         cols = ["node", "parent", "w"] + ["seg"] * self.paths + ["acc", "extra"] * self.sizes
         stay = marked.filter(F.col("what") == 0).select(*cols)
         out = marked.filter(F.col("what") == 2).select(
-            F.col("node").alias("v"), F.col("parent").alias("up"), F.col("w").alias("vw"),
+            F.col("kid").alias("v"), F.col("parent").alias("up"), F.col("w").alias("vw"),
             *([F.col("seg").alias("vseg")] if self.paths else []),
             *([(F.col("acc") + F.col("extra")).alias("vacc")] if self.sizes else []),
         )
-        j = stay.join(out, stay["parent"] == out["v"], "left")
+        j = stay.join(out, stay["node"] == out["v"], "left")
         hung = F.col("v").isNotNull()
         keep = [
             F.col("node"), F.when(hung, F.col("up")).otherwise(F.col("parent")).alias("parent"),
@@ -121,8 +138,8 @@ class Hierarchy:
         j = j.select(*keep, "acc", F.when(hung, F.col("extra") + F.col("vacc")).otherwise(F.col("extra")).alias("extra"))
         # leaves send their size (and that of the nodes spliced out above them) upwards
         sent = marked.filter(F.col("what") == 1)
-        target = marked.filter(F.col("what") == 2).select(F.col("node").alias("v"), F.col("parent").alias("up"), (F.col("acc") + F.col("extra")).alias("vacc"))
-        s = sent.join(target, sent["parent"] == target["v"], "left")
+        target = marked.filter(F.col("what") == 2).select(F.col("kid").alias("v"), F.col("parent").alias("up"), (F.col("acc") + F.col("extra")).alias("vacc"))
+        s = sent.join(target, sent["node"] == target["v"], "left")
         s = s.groupBy(F.coalesce("up", "parent").alias("node")).agg(F.sum(F.col("acc") + F.col("extra") + F.coalesce("vacc", F.lit(0))).alias("got"))
         return j.join(s, "node", "left").withColumn("acc", F.col("acc") + F.coalesce("got", F.lit(0))).drop("got")
 
@@ -155,7 +172,7 @@ class Hierarchy:
     def _attach(self, peeled: DataFrame, done: DataFrame) -> DataFrame:
         """Root, depth and path of peeled nodes from those of their parents."""
         up = done.select(F.col("node").alias("up"), F.col("root").alias("uroot"), F.col("depth").alias("udepth"), *([F.col("path").alias("upath")] if self.paths else []))
-        j = peeled.join(up, peeled["parent"] == up["up"])
+        j = self._met(peeled, up)
         lost = F.col("udepth") < 0
         cols = [F.col("node"), F.col("uroot").alias("root"), F.when(lost, F.lit(CYCLE_DEPTH)).otherwise(F.col("udepth") + F.col("w")).cast("bigint").alias("depth")]
         if self.paths:
@@ -165,6 +182,15 @@ class Hierarchy:
             cols.append(F.when(~lost, size).alias("subtree_size"))
         return j.select(*cols)
 
+    def _met(self, peeled: DataFrame, up: DataFrame) -> DataFrame:
+        """``peeled`` joined to its parents' rows; children of a hot parent stay where they are."""
+        if not self.hot:
+            return peeled.join(up, peeled["parent"] == up["up"])
+        hot, above = peeled["parent"].isin(self.hot), up["up"].isin(self.hot)
+        few = F.broadcast(up.filter(above))  # at most 1 / HOT_SHARE rows
+        rest = peeled.filter(~hot)
+        return rest.join(up, rest["parent"] == up["up"]).unionByName(peeled.filter(hot).join(few, F.col("parent") == F.col("up")))
+
     def _spliced_sizes(self, full: DataFrame, marked: DataFrame) -> DataFrame:
         """A spliced node's size: its child's, what was spliced between, and its own."""
         spl = marked.filter(F.col("what") == 2).select(F.col("node"), F.col("kid"), F.col("acc").alias("own"))

@@ -4,12 +4,17 @@ Method: one pass parses every value by its attribute's type and pre-aggregates t
 rows of a cell (entity, attribute) before they are shuffled, so an entity or a cell
 that holds a third of all rows costs one row a task.  The cells are written once,
 partitioned by attribute: each attribute is a typed narrow table that is read
-without the others.  The narrow tables, hashed by entity, are combined through a
-balanced tree of full outer joins: every row takes part in log2(attributes) joins.
+without the others.  The narrow tables are combined by one multiway full outer join on
+the entity.  Spark forgets the partitioning of a full outer join's result, so a tree of
+two-way joins shuffles every level again; here all narrow tables meet in a single
+exchange by entity, the rows of an entity side by side (a cell is one row, so an entity
+has at most as many rows as there are attributes), and are merged into one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.values import to_bigint, to_boolean, to_instant, to_text
@@ -61,14 +66,19 @@ def wide_table(rows: DataFrame, attributes: dict[str, str], entity: str = "s", a
     c.select("entity", F.when(certain, F.col("num")).alias("num"), F.when(certain, F.col("txt")).alias("txt"), ((F.col("n") > 0) & ~certain).alias("bad"), index.alias("i")).write.partitionBy("i").parquet(path)
     stored = rows.sparkSession.read.schema("entity string, num bigint, txt string, bad boolean, i int").parquet(path)
 
-    def narrow(i: int, kind: str) -> DataFrame:
+    kinds = list(attributes.values())
+
+    def narrow(i: int) -> DataFrame:
+        """The typed table of one attribute, beside empty columns for the others'."""
         num = F.col("num")
-        v = {"string": F.col("txt"), "bigint": num, "timestamp": F.timestamp_micros(num), "boolean": num == 1}[kind]
-        return stored.filter(F.col("i") == i).select("entity", v.alias(f"c{i}"), F.col("bad").alias(f"b{i}"))
+        v = {"string": F.col("txt"), "bigint": num, "timestamp": F.timestamp_micros(num), "boolean": num == 1}
+        row = ["entity"]
+        for k, kind in enumerate(kinds):
+            row += [v[kind].alias(f"c{k}"), F.col("bad").alias(f"b{k}")] if k == i else [F.lit(None).cast(kind).alias(f"c{k}"), F.lit(None).cast("boolean").alias(f"b{k}")]
+        return stored.filter(F.col("i") == i).select(*row)
 
-    level = [narrow(i, kind) for i, kind in enumerate(attributes.values())]
-    while len(level) > 1:
-        level = [x.join(y, "entity", "full") for x, y in zip(level[::2], level[1::2])] + level[len(level) // 2 * 2 :]
+    tables = reduce(DataFrame.unionByName, [narrow(i) for i in range(len(kinds))])
+    merged = tables.groupBy("entity").agg(*[F.max(f"{x}{i}").alias(f"{x}{i}") for i in range(len(kinds)) for x in "cb"])
     taken, columns = {entity.lower(), "uncertain"}, []
     for i, a in enumerate(attributes):
         name = a
@@ -77,4 +87,4 @@ def wide_table(rows: DataFrame, attributes: dict[str, str], entity: str = "s", a
         taken.add(name.lower())
         columns.append(F.col(f"c{i}").alias(name))
     bad = F.array_compact(F.array(*[F.when(F.col(f"b{i}"), F.lit(a)) for i, a in enumerate(attributes)]))
-    return level[0].select(F.col("entity").alias(entity), *columns, bad.alias("uncertain"))
+    return merged.select(F.col("entity").alias(entity), *columns, bad.alias("uncertain"))

@@ -446,6 +446,9 @@ def _typed(value: str, datatype: str) -> tuple:
 
 # -- compiler -------------------------------------------------------------------------
 
+#: Up to so many variables that may be unbound, a join is split by which of them are.
+FORMS = 4
+
 
 @dataclass
 class Solutions:
@@ -668,7 +671,11 @@ class Compiler:
         return self.closure(inner, s, o)
 
     def closure(self, pairs: DataFrame, s: tuple, o: tuple) -> DataFrame:
-        """Transitive closure, from the fixed end if there is one; only new pairs go into the next round."""
+        """Transitive closure.
+
+        From a fixed end the frontier takes a step a round.  Without one, the pairs found in the last round are
+        joined to all pairs known, so the length of the paths covered doubles and rounds are logarithmic in it.
+        """
         self.ws = self.ws or Workspace(self.spark)
         ws = self.ws
         step = ws.cut(pairs.filter("s is not null and o is not null").distinct(), "step")
@@ -682,6 +689,12 @@ class Compiler:
         hop = edge.select(F.col("s").alias("m"), F.col("o").alias("e"))
         seen = ws.cut(seed, "seen")
         parts, frontier = [seen], seen
+        if s[0] != "iri" and o[0] != "iri":
+            while not frontier.isEmpty():
+                onwards = seen.select(F.col("s").alias("m"), F.col("o").alias("e"))
+                frontier = ws.cut(frontier.join(onwards, frontier["o"] == onwards["m"]).select("s", F.col("e").alias("o")).distinct().join(seen, ["s", "o"], "left_anti"), "frontier")
+                seen = seen.unionByName(frontier)
+            return seen
         while not frontier.isEmpty():
             known = reduce(DataFrame.unionByName, parts)
             frontier = ws.cut(frontier.join(hop, frontier["o"] == hop["m"]).select("s", F.col("e").alias("o")).distinct().join(known, ["s", "o"], "left_anti"), "frontier")
@@ -743,10 +756,42 @@ class Compiler:
         if not any(v in left.maybe or v in right.maybe for v in shared):
             return Solutions(left.df.join(right.df, shared), kinds, left.maybe | right.maybe)
         df, names = self._renamed(right)
-        j = left.df.join(df, self._compatible(left, right, names))
+        j = self._by_bound(left, right, df, names, shared)
         columns = [F.coalesce(F.col(v), F.col(names[v])).alias(v) if v in shared else F.col(v) for v in left.kinds] + [F.col(names[v]).alias(v) for v in right.kinds if v not in left.kinds]
         return Solutions(j.select(*columns), kinds, {v for v in left.maybe | right.maybe if v not in shared or v in left.maybe and v in right.maybe})
 
+    @staticmethod
+    def _form(names: list[str], bound: int) -> Column:
+        """Which of ``names`` are bound (bits)."""
+        return reduce(Column.__and__, [F.col(n).isNotNull() if bound >> i & 1 else F.col(n).isNull() for i, n in enumerate(names)], F.lit(True))
+
+    def _by_bound(self, left: Solutions, right: Solutions, df: DataFrame, names: dict[str, str], shared: list[str]) -> DataFrame:
+        """Compatible pairs, as one join on equal keys for each way in which variables are bound on the two sides."""
+        mine, theirs = [v for v in shared if v in left.maybe], [v for v in shared if v in right.maybe]
+        if len(mine) + len(theirs) > FORMS:
+            return left.df.join(df, self._compatible(left, right, names))
+        parts = []
+        for a in range(1 << len(mine)):
+            for b in range(1 << len(theirs)):
+                x, y = left.df.filter(self._form(mine, a)), df.filter(self._form([names[v] for v in theirs], b))
+                free = {v for i, v in enumerate(mine) if not a >> i & 1} | {v for i, v in enumerate(theirs) if not b >> i & 1}
+                keys = [F.col(v) == F.col(names[v]) for v in shared if v not in free]
+                parts.append(x.join(y, reduce(Column.__and__, keys)) if keys else x.crossJoin(y))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _left_by_bound(self, left: DataFrame, df: DataFrame, names: dict[str, str], shared: list[str], loose: list[str]) -> DataFrame:
+        """The same for a left join whose right side is always bound."""
+        parts = []
+        for a in range(1 << len(loose)):
+            x = left.filter(self._form(loose, a))
+            keys = [F.col(v) == F.col(names[v]) for v in shared if v not in loose or a >> loose.index(v) & 1]
+            if keys:
+                parts.append(x.join(df, reduce(Column.__and__, keys), "left"))
+            else:  # goes with every row; by itself only where there is none
+                alone = x.join(df.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti")
+                parts += [x.crossJoin(df), alone.select("*", *[F.lit(None).cast(t).alias(c) for c, t in df.dtypes])]
+        return reduce(DataFrame.unionByName, parts)
+
     def optional(self, left: Solutions, p: tuple) -> Solutions:
         filters = [x[1] for x in p[1] if x[0] == "filter"]
         right = self.pattern(("group", [x for x in p[1] if x[0] != "filter"]))
@@ -757,7 +802,12 @@ class Compiler:
         both = Solutions(None, {**right.kinds, **left.kinds}, left.maybe | set(right.kinds))
         for f in filters:  # an inner filter sees both sides
             cond = cond & self.truth(f, both, {v: n for v, n in names.items() if v not in left.kinds})
-        j = left.df.join(df, cond, "left")
+        shared = sorted(set(left.kinds) & set(right.kinds))
+        loose = [v for v in shared if v in left.maybe]
+        if not filters and loose and len(loose) < FORMS and not any(v in right.maybe for v in shared):
+            j = self._left_by_bound(left.df, df, names, shared, loose)
+        else:
+            j = left.df.join(df, cond, "left")
         columns = [F.coalesce(F.col(v), F.col(names[v])).alias(v) if v in right.kinds and v in left.maybe else F.col(v) for v in left.kinds] + [F.col(names[v]).alias(v) for v in right.kinds if v not in left.kinds]
         return Solutions(j.select(*columns), both.kinds, left.maybe | {v for v in right.kinds if v not in left.kinds})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.operators.hierarchy import Hierarchy, edges_from_triples
+from loomgraph.operators.hierarchy import Hierarchy, dropped_links, edges_from_triples
 from loomgraph.operators.wide import wide_table
 
 
@@ -14,8 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root and depth of every node of the links."""
-    h = Hierarchy(edges_from_triples(table(spark, sf_dir, "triples")), paths=False, sizes=False)
-    return h.nodes.select("node", "root", "depth")
+    return Hierarchy(edges_from_triples(table(spark, sf_dir, "triples"))).nodes.select("node", "root", "depth")
 
 
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +23,11 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.nodes.select("node", "root", "depth", F.concat_ws(" > ", "path").alias("path"), "subtree_size")
 
 
+def p1_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that the hierarchy leaves out because their node has another, smaller parent."""
+    return dropped_links(edges_from_triples(table(spark, sf_dir, "triples")).select(F.col("child").alias("node"), "parent"))
+
+
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (ancestor, descendant) pair with its distance."""
     return Hierarchy(edges_from_triples(table(spark, sf_dir, "triples")), sizes=False).descendants()
@@ -48,7 +52,7 @@ def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("s", *[utc(a).alias(a) if t == "timestamp" else F.col(a) for a, t in attributes.items()], F.concat_ws(",", "uncertain").alias("uncertain"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p5_found, p5_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_dropped, p1_descendants, p5_found, p5_wide)}
 
 _CELLS = r"""
   typed AS (
@@ -92,6 +96,8 @@ SELECT n.node, coalesce(w.root, '') AS root, coalesce(w.depth, CAST(-1 AS BIGINT
   sizes AS (SELECT anc AS node, count(*) AS subtree_size FROM up GROUP BY anc)
 SELECT n.node, coalesce(w.root, '') AS root, coalesce(w.depth, CAST(-1 AS BIGINT)) AS depth, coalesce(w.path, '') AS path, z.subtree_size
 FROM nodes n LEFT JOIN walk w ON w.node = n.node LEFT JOIN sizes z ON z.node = n.node""",
+    "p1_dropped": f"""WITH RECURSIVE {_EDGES}
+SELECT e.child AS node, e.parent FROM edges e JOIN (SELECT child, min(parent) AS kept FROM edges GROUP BY child) k ON e.child = k.child WHERE e.parent <> k.kept""",
     "p1_descendants": f"""WITH RECURSIVE {_EDGES},
   up AS (
     SELECT w.node AS node, e.parent AS ancestor, CAST(1 AS BIGINT) AS distance FROM walk w JOIN edges e ON e.child = w.node

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.functions.terms import extension, file_name
+from loomgraph.operators.extract import MIME
 from loomgraph.operators.gitlog import FIELDS, parse_log
 
 FILES = "path string, file_name string, ext string, length bigint, content binary"
@@ -80,15 +81,17 @@ def list_paths(root: str, exclude: list[str] | None = None, hidden: bool = True)
 
 
 def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, hidden: bool = True, partitions: int | None = None) -> DataFrame:
-    """path, file_name, ext, length, content of a tree; unreadable files have null content."""
+    """path, file_name, ext, length, content of a tree; unreadable files and files of which only metadata are kept have null content."""
     paths = list_paths(root, exclude, hidden)
+    metadata_only = frozenset(MIME)
 
     def read(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
                 try:
                     with open(path, "rb") as f:
-                        content, size = f.read(), os.path.getsize(path)
+                        size = os.fstat(f.fileno()).st_size
+                        content = None if path.rpartition(".")[2] in metadata_only else f.read()
                 except OSError:
                     content, size = None, None
                 yield pa.record_batch([pa.array([path]), pa.array([size], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
@@ -101,10 +104,10 @@ def matching(paths: list[str], pattern: str) -> list[str]:
     return [p for p in paths if fnmatch.fnmatch(p, pattern)]
 
 
-def read_log(spark: SparkSession, root: str, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) of a checkout, newest first; both are empty where there is none."""
+def read_log(spark: SparkSession, root: str, limit: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) of a checkout, newest first (``limit`` None: all of them); both are empty where there is none."""
     try:
-        run = subprocess.run(["git", "log", f"-n{limit}", f"--format={FIELDS}", "--name-only"], cwd=root, capture_output=True)
+        run = subprocess.run(["git", "log", *([] if limit is None else [f"-n{limit}"]), f"--format={FIELDS}", "--name-only"], cwd=root, capture_output=True)
         text = run.stdout.decode("utf-8", "replace") if run.returncode == 0 else ""
     except OSError:
         text = ""
@@ -119,5 +122,5 @@ def fetch(url: str, folder: str) -> str:
     if os.path.isdir(target):
         subprocess.run(["git", "-C", target, "pull", "--ff-only"], capture_output=True)
     else:
-        subprocess.run(["git", "clone", "--depth", "1", url, target], check=True, capture_output=True)
+        subprocess.run(["git", "clone", "--depth", "1", "--", url, target], check=True, capture_output=True)
     return target

@@ -1,9 +1,10 @@
 """Intermediate tables in the folder all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it again.
-The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests,
-a laptop) is a folder of our own made, so that on a cluster nothing is ever put
-on one machine's disk.  A written table survives the loss of any executor.
+The folder comes from ``spark.checkpoint.dir`` or, where that is unset, from the
+context's checkpoint directory; only on ``local`` masters (tests, a laptop) without
+either is a folder of our own made, so that on a cluster nothing is ever put on one
+machine's disk.  A written table survives the loss of any executor.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables, from the session or made once for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir (or the context's checkpoint directory) to a folder all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -63,3 +63,22 @@ def test_links_of_triples(spark):
     rows = [("a", "contains", "b"), ("b", "partOf", "a"), ("c", "partOf", "b"), (None, "contains", "x"), ("a", "calls", "z")]
     t = spark.createDataFrame([(*r, 1) for r in rows], "s string, p string, o string, parent int")  # an extra column with a name of ours
     assert {tuple(r) for r in edges_from_triples(t).collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_second_parents_are_said(spark):
+    edges = [("a", "x"), ("b", "x"), ("x", "y"), ("a", "x"), (None, "x"), ("b", "z")]
+    h = Hierarchy(spark.createDataFrame(edges, SCHEMA))
+    assert {tuple(r) for r in h.dropped.collect()} == {("x", "b")}
+    assert {r["node"]: r["root"] for r in h.nodes.collect()} == {"a": "a", "b": "b", "x": "a", "y": "a", "z": "b"}
+
+
+def test_hot_parent(spark):
+    """One parent with most of all links: its children are joined by broadcast, the result is the same."""
+    n = 5_000
+    edges = [("hub", f"c{i}") for i in range(n)] + [("top", "mid"), ("mid", "hub")] + [(f"c{i}", f"d{i}") for i in range(200)] + [(f"d{i}", f"e{i}") for i in range(100)]
+    h = Hierarchy(spark.createDataFrame(edges, SCHEMA))
+    assert h.hot == ["hub"]
+    want = walk(edges)
+    rows = h.nodes.collect()
+    assert {r["node"]: (tuple(r["path"]), r["root"], r["depth"]) for r in rows} == want
+    assert {r["node"]: r["subtree_size"] for r in rows if r["node"] in ("hub", "mid", "c0", "c150")} == {"hub": n + 301, "mid": n + 302, "c0": 3, "c150": 2}

@@ -96,3 +96,25 @@ def test_errors(spark, text):
 
 def test_local_names():
     assert local_name("http://repo.example.org/a%20b%C3%A9") == "a b\u00e9" and local_name("http://else/x") == "<http://else/x>"
+
+
+def test_variables_that_may_be_unbound(spark):
+    """Joins on them are joins on equal keys, one for each way of being bound; nothing unbounded is broadcast."""
+    rows = [("a", "p", "1"), ("b", "p", "1"), ("c", "p", "1"), ("a", "q", "x"), ("c", "q", "z"), ("x", "n", "5"), ("w", "n", "6")]
+    text = "SELECT ?f ?x ?y { ?f r:p ?o OPTIONAL { ?f r:q ?x } OPTIONAL { ?x r:n ?y } }"
+    got = {tuple(v and v.strip("<>") for v in r) for r in run(spark, rows, text)}
+    assert got == {("a", "x", "5"), ("b", "x", "5"), ("b", "w", "6"), ("c", "z", None)}
+    empty = {tuple(v and v.strip("<>") for v in r) for r in run(spark, rows[:5], text)}
+    assert empty == {("a", "x", None), ("b", None, None), ("c", "z", None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = query(graph(spark, rows), R + "SELECT ?f ?x { ?f r:p ?o OPTIONAL { ?f r:q ?x } { ?x r:n ?y } }")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_long_chain(spark):
+    """All pairs of a chain of 60 links, in rounds that double."""
+    rows = [(f"n{i}", "p", f"n{i + 1}") for i in range(60)]
+    assert len(run(spark, rows, "SELECT ?a ?b { ?a r:p+ ?b }")) == 60 * 61 // 2
