@@ -49,8 +49,9 @@ def dropped_links(links: DataFrame) -> DataFrame:
     return links.join(several, "node").filter("parent <> kept").select("node", "parent").distinct()
 
 
-def _key(col: Column, r: int) -> Column:
-    return F.xxhash64(col, F.lit(r))
+def _key(col: Column) -> Column:
+    """Another random order each round; the round is a column, so all rounds run the same compiled code."""
+    return F.xxhash64(col, F.col("round"))
 
 
 class Hierarchy:
@@ -85,7 +86,7 @@ class Hierarchy:
         active = (
             links.unionByName(links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
             .groupBy("node").agg(F.min("parent").alias("parent"))
-            .withColumn("w", F.lit(1).cast("bigint"))
+            .withColumn("w", F.lit(1).cast("bigint")).withColumn("round", F.lit(1))
         )
         if self.paths:  # names between this node's present parent (left out) and the node
             active = active.withColumn("seg", F.array("node"))
@@ -97,7 +98,7 @@ class Hierarchy:
         log: list[DataFrame] = []
         rest = active
         while True:
-            log.append(ws.cut(self._peel(rest, len(log) + 1), "marked"))
+            log.append(ws.cut(self._peel(rest), "marked"))
             rest = self._rest(log[-1])
             # an open node is one that still has a parent other than itself
             if log[-1].filter((F.col("what") == 0) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).isEmpty():
@@ -105,20 +106,20 @@ class Hierarchy:
         ws.drop(active)
         return self._down(rest, log)
 
-    def _peel(self, active: DataFrame, r: int) -> DataFrame:
+    def _peel(self, active: DataFrame) -> DataFrame:
         """Adds ``what``: 0 stays, 1 leaf, 2 spliced out (``kid``: its only child)."""
         aggs = [F.count("*").alias("kids"), F.min("node").alias("kid")]
         kids = active.filter(F.col("parent").isNotNull()).groupBy("parent").agg(*aggs)
         a = active.join(kids.withColumnRenamed("parent", "node"), "node", "left")
         inner = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-        mine = _key(F.col("node"), r)
-        chain = inner & (F.col("kids") == 1) & (F.col("kid") != F.col("node")) & (mine > _key(F.col("kid"), r)) & (mine > _key(F.col("parent"), r))
+        mine = _key(F.col("node"))
+        chain = inner & (F.col("kids") == 1) & (F.col("kid") != F.col("node")) & (mine > _key(F.col("kid"))) & (mine > _key(F.col("parent")))
         what = F.when(inner & F.col("kids").isNull(), 1).when(chain, 2).otherwise(0)
         return a.withColumn("what", what).drop("kids")
 
     def _rest(self, marked: DataFrame) -> DataFrame:
         """What is left after a round, hung on the spliced nodes' parents."""
-        cols = ["node", "parent", "w"] + ["seg"] * self.paths + ["acc", "extra"] * self.sizes
+        cols = ["node", "parent", "w", "round"] + ["seg"] * self.paths + ["acc", "extra"] * self.sizes
         stay = marked.filter(F.col("what") == 0).select(*cols)
         out = marked.filter(F.col("what") == 2).select(
             F.col("kid").alias("v"), F.col("parent").alias("up"), F.col("w").alias("vw"),
@@ -129,7 +130,7 @@ class Hierarchy:
         hung = F.col("v").isNotNull()
         keep = [
             F.col("node"), F.when(hung, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-            F.when(hung, F.col("w") + F.col("vw")).otherwise(F.col("w")).alias("w"),
+            F.when(hung, F.col("w") + F.col("vw")).otherwise(F.col("w")).alias("w"), (F.col("round") + 1).alias("round"),
         ]
         if self.paths:
             keep.append(F.when(hung, F.concat("vseg", "seg")).otherwise(F.col("seg")).alias("seg"))
