@@ -157,18 +157,26 @@ class Hierarchy:
             first.append(F.when(~loop, F.array("node")).alias("path"))
         if self.sizes:
             first.append(F.when(~loop, F.col("acc")).alias("subtree_size"))
-        done = ws.cut(left.select(*first), "done")
+        # each round's nodes are written once and never again; a round reads those of all rounds before it in one scan
+        parts = [ws.cut(left.select(*first), "done")]
         for marked in reversed(log):
-            spliced = self._attach(marked.filter(F.col("what") == 2), done)
-            base = done.unionByName(spliced)
-            full = base.unionByName(self._attach(marked.filter(F.col("what") == 1), base))
+            done = ws.together(parts)
+            spliced = self._attach(self._sized(marked, done), done)
+            leaves = marked.filter(F.col("what") == 1)
             if self.sizes:
-                full = self._spliced_sizes(full, marked)
-            nxt = ws.cut(full, "done")
-            ws.drop(done)
+                leaves = leaves.withColumn("size", F.col("acc"))
+            parts.append(ws.cut(spliced.unionByName(self._attach(leaves, done.unionByName(spliced))), "done"))
             ws.drop(marked)
-            done = nxt
-        return done
+        return ws.together(parts)
+
+    def _sized(self, marked: DataFrame, done: DataFrame) -> DataFrame:
+        """The spliced nodes; size: of the only child (a leaf of this round or done before), what was spliced between, and its own."""
+        spliced = marked.filter(F.col("what") == 2)
+        if not self.sizes:
+            return spliced
+        kids = marked.select(F.col("node").alias("kid"), F.col("extra").alias("kextra"), F.when(F.col("what") == 1, F.col("acc")).alias("kacc"))
+        known = done.select(F.col("node").alias("kid"), F.col("subtree_size").alias("ksize"))
+        return spliced.join(kids, "kid").join(known, "kid", "left").withColumn("size", F.col("acc") + F.col("kextra") + F.coalesce("kacc", "ksize"))
 
     def _attach(self, peeled: DataFrame, done: DataFrame) -> DataFrame:
         """Root, depth and path of peeled nodes from those of their parents."""
@@ -179,8 +187,7 @@ class Hierarchy:
         if self.paths:
             cols.append(F.when(~lost, F.concat("upath", "seg")).alias("path"))
         if self.sizes:
-            size = F.when(F.col("what") == 1, F.col("acc"))
-            cols.append(F.when(~lost, size).alias("subtree_size"))
+            cols.append(F.when(~lost, F.col("size")).alias("subtree_size"))
         return j.select(*cols)
 
     def _met(self, peeled: DataFrame, up: DataFrame) -> DataFrame:
@@ -192,15 +199,6 @@ class Hierarchy:
         rest = peeled.filter(~hot)
         return rest.join(up, rest["parent"] == up["up"]).unionByName(peeled.filter(hot).join(few, F.col("parent") == F.col("up")))
 
-    def _spliced_sizes(self, full: DataFrame, marked: DataFrame) -> DataFrame:
-        """A spliced node's size: its child's, what was spliced between, and its own."""
-        spl = marked.filter(F.col("what") == 2).select(F.col("node"), F.col("kid"), F.col("acc").alias("own"))
-        between = marked.select(F.col("node").alias("kid"), F.col("extra").alias("kextra"))
-        size = full.select(F.col("node").alias("kid"), F.col("subtree_size").alias("ksize"))
-        got = spl.join(between, "kid").join(size, "kid").select("node", (F.col("own") + F.col("kextra") + F.col("ksize")).alias("ssize"))
-        j = full.join(got, "node", "left")
-        return j.withColumn("subtree_size", F.coalesce("subtree_size", "ssize")).drop("ssize")
-
     # -- results -------------------------------------------------------------------
 
     def descendants(self) -> DataFrame:

@@ -61,6 +61,10 @@ class Workspace:
         out._workspace_path = path  # type: ignore[attr-defined]
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Tables of :meth:`cut` with one schema, read by a single scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._workspace_path for t in tables])  # type: ignore[attr-defined]
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of :meth:`cut` that nothing will read again."""
         path = getattr(df, "_workspace_path", None)
