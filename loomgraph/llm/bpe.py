@@ -14,7 +14,7 @@ import os
 import re
 
 #: Fixed value: how byte_bpe_50k cuts a text into words, and the characters it takes for white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same for Java's regular expressions, where \s would know ASCII only.
 JAVA_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]").replace(r"(?!\S)", rf"(?![^{SPACES}])").replace(r"|\s+", rf"|[{SPACES}]+")

@@ -2,13 +2,22 @@
 
 Method: Spark's higher-order functions.  A text is cut into words by the tokenizer's
 own regular expression; words that are tokens are looked up; the other distinct words
-of a stretch of text are folded once each over their bytes, every step of the fold
-merging the adjacent pair with the lowest rank.  Ranks and vocabulary are constant
-maps in buckets (an array indexed by a hash, a map of a few entries in each place),
-bounded by the tokenizer's file; Catalyst folds them into literals.  No shuffle and one
-scan: a text is encoded where it lies.
-
-A fold is quadratic in a word's length, so words above ``WINDOW`` bytes are folded in
+of a stretch of text are folded once each over their bytes: a word is a string with a
+character for each token, at first for each byte, and every step of the fold makes one
+ranked merge, lowest rank first, wherever its pair stands.  The steps are the ranks of
+the tokens that lie in the word, found by a hash of its parts.  Ranks and vocabulary are
+constant arrays and maps, bounded by the tokenizer's file; Catalyst folds them into
+literals.  No shuffle and one scan: a text is encoded where it lies.
+
+That is the lowest rank among the pairs at every time, leftmost first, if every token is
+made by one merge, that of the two tokens left when its own bytes are merged up to its
+rank; ``_merges`` tests this for the whole vocabulary.  For then no merge makes a pair of
+lower rank: until the first such merge all ranks came in order, so inside the pair's bytes
+the merges were those of the token alone, its two halves met and were merged before.  By
+the same reason a token is never made of other halves, and a rank whose token is not
+there changes nothing.
+
+Every step searches the whole word, so words above ``WINDOW`` bytes are folded in
 blocks: a window is folded, its tokens that begin in the first half are kept, the next
 window begins behind them.  Tokens are the word's encoding exactly if every two
 neighbours, folded on their own, come out as these two; inside a window that holds by
@@ -24,7 +33,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.bpe import JAVA_PATTERN, pairs_of, ranks_of, read_vocabulary, vocabulary_path
+from loomgraph.llm.bpe import JAVA_PATTERN, ranks_of, read_vocabulary, vocabulary_path
 from loomgraph.workspace import spread
 
 #: Words are made distinct in stretches this long: a look-up among a stretch's distinct words is linear in their number.
@@ -36,12 +45,16 @@ WINDOW, HALF = 512, 256
 #: the tokens, FREQUENT of them at most.  That saves folds; every other word is folded where it stands, so no result
 #: depends on the sample.
 SAMPLE, SHORT, FREQUENT = 200_000, 48, 16_384
-WORD_BUCKETS = 1 << 16
-PAIR_BUCKETS = 262_139
+WORD_BUCKETS, PART_BUCKETS = 1 << 16, 1 << 18
+#: Parts of a word up to this many bytes are looked up; the longest ones stand for all tokens that begin with them.
+PART = 5
+#: Words up to this many bytes have the places of their parts in a table.
+TABLED = 16
 
-#: An element of a fold: rank of the token with its right neighbour << 44 | offset of its first byte << 16 | its id.
-RANK, OFFSET, ID, OFFSETS = 44, 16, (1 << 16) - 1, (1 << 28) - 1
-NO_PAIR = 1 << 18 << RANK
+#: The character of a token: that of its byte, or BEYOND + its id.  SURROGATES are no characters.
+BEYOND, SURROGATES = 256, 0xD800
+#: An element of a window: offset of a token's first byte << 16 | its id.
+OFFSET, ID = 16, (1 << 16) - 1
 
 
 def _mixed(h: int, k: int) -> int:
@@ -50,7 +63,7 @@ def _mixed(h: int, k: int) -> int:
     return ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
 
 
-def _word_bucket(word: bytes) -> int:
+def _word_bucket(word: bytes, buckets: int = WORD_BUCKETS) -> int:
     """The place of Spark's ``hash`` of the string: 32-bit Murmur3 whose last bytes are taken one by one."""
     h, whole = 42, len(word) & ~3
     for i in range(0, whole, 4):
@@ -60,7 +73,7 @@ def _word_bucket(word: bytes) -> int:
     h ^= len(word)
     h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
     h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
-    return (h ^ h >> 16) & (WORD_BUCKETS - 1)
+    return (h ^ h >> 16) & (buckets - 1)
 
 
 class Constants:
@@ -108,62 +121,95 @@ def _words(data: bytes, spelled: list[tuple[str, list[int]]]) -> pa.Table:
     return pa.table({"words": pa.array([words], pa.list_(pa.map_(pa.string(), pa.list_(pa.int32()))))})
 
 
+def _halves(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What is left of a token's bytes when all merges below its own rank are made."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        low, i = min((ranks.get(parts[i] + parts[i + 1], ranks[token]), i) for i in range(len(parts) - 1))
+        if low >= ranks[token]:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
 @functools.lru_cache(2)
-def _ranks(data: bytes) -> pa.Table:
-    """One row: starts (element of each byte before each byte, or before the end), pairs (shifted ranks, maps in buckets)."""
-    ranks, pairs = ranks_of(data), pairs_of(data)
-    held: list[list] = [[] for _ in range(PAIR_BUCKETS)]
-    for pair, rank in pairs.items():
-        held[pair % PAIR_BUCKETS].append((pair, rank << RANK))
-    rank = lambda a, b: ranks[x] << RANK if (x := bytes([a, b])) in ranks else NO_PAIR
-    starts = [(rank(a, b) if b < 256 else NO_PAIR) | ranks[bytes([a])] for a in range(256) for b in range(257)]
-    return pa.table({"starts": pa.array([starts], pa.list_(pa.int64())), "pairs": pa.array([held], pa.list_(pa.map_(pa.int64(), pa.int64())))})
+def _merges(data: bytes) -> pa.Table:
+    """One row: what a fold needs.  Texts are bytes read as Latin-1."""
+    ranks = ranks_of(data)
+    if max(ranks.values()) >= SURROGATES - BEYOND or sum(len(t) == 1 for t in ranks) < 256:
+        raise ValueError(f"a token for every byte and ids below {SURROGATES - BEYOND} are expected")
+    sign = lambda token: token.decode("latin-1") if len(token) == 1 else chr(BEYOND + ranks[token])
+    count = max(ranks.values()) + 1
+    pairs, ids, widths = [""] * count, [0] * (BEYOND + count), [0] * count
+    found: dict[int, list[int]] = {}
+    for token, rank in ranks.items():
+        ids[ord(sign(token))], widths[rank] = rank, len(token)
+        if len(token) > 1:
+            halves = _halves(token, ranks)
+            if len(halves) != 2:
+                raise ValueError(f"token {rank} is made by no single merge")
+            pairs[rank] = "".join(map(sign, halves))
+            found.setdefault(_word_bucket(token[:PART].decode("latin-1").encode(), PART_BUCKETS), []).append(rank)
+    places = [-1] * PART_BUCKETS
+    for group, place in enumerate(found):
+        places[place] = group
+    parts = [[begin << 3 | length for length in range(2, PART + 1) for begin in range(1, n - length + 2)] for n in range(TABLED + 1)]
+    row = {
+        "parts": (parts, pa.list_(pa.int32())), "places": (places, pa.int32()), "groups": (list(found.values()), pa.list_(pa.int32())),
+        "pairs": (pairs, pa.string()), "made": ([chr(BEYOND + i) for i in range(count)], pa.string()), "ids": (ids, pa.int32()), "widths": (widths, pa.int32()),
+    }
+    return pa.table({name: pa.array([value], pa.list_(kind)) for name, (value, kind) in row.items()})
 
 
 WORDS_TYPE = {"words": "ARRAY<MAP<STRING, ARRAY<INT>>>"}
-RANKS_TYPES = {"starts": "ARRAY<BIGINT>", "pairs": "ARRAY<MAP<BIGINT, BIGINT>>"}
+MERGES_TYPES = {
+    # first character << 3 | length of every part of a word, by the word's length; the place in groups, or -1, by a part's hash;
+    # the tokens of that hash
+    "parts": "ARRAY<ARRAY<INT>>", "places": "ARRAY<INT>", "groups": "ARRAY<ARRAY<INT>>",
+    # by id: the characters of the two tokens that are merged, that of the new one, its bytes; by character: the id
+    "pairs": "ARRAY<STRING>", "made": "ARRAY<STRING>", "widths": "ARRAY<INT>", "ids": "ARRAY<INT>",
+}
 
 
 def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _rank(left: str, right: str) -> str:
-    """The shifted rank of two neighbouring tokens, or NO_PAIR."""
-    key = f"({left} * 65536L + {right})"
-    return f"coalesce(element_at(get(m.pairs, cast({key} % {PAIR_BUCKETS} as int)), {key}), {NO_PAIR}L)"
-
-
 def _begin(element: str) -> str:
-    return f"cast(shiftright({element}, {OFFSET}) & {OFFSETS} as int)"
+    return f"shiftright({element}, {OFFSET})"
 
 
 def _ids(elements: str) -> str:
-    return f"transform({elements}, e -> cast(e & {ID} as int))"
-
-
-def _fold(codes: str) -> str:
-    """The elements left of an array of bytes (a name): every step merges the lowest rank, leftmost first, until no pair is left."""
-    first = f"transform({codes}, (c, i) -> get(m.starts, c * 257 + coalesce(get({codes}, i + 1), 256)) + i * {1 << OFFSET}L)"
-    # steps take turns: an even one finds the lowest element and its place p (from 1), an odd one merges there.  Nothing is
-    # bound by a lambda of its own: the result of every such lambda would be copied, arrays and all
-    seek = f"named_struct('x', a.x, 'low', array_min(a.x), 'p', if(array_min(a.x) >= {NO_PAIR}L, -1, cast(array_position(a.x, array_min(a.x)) as int)))"
-    token, before, behind = f"shiftright(a.low, {RANK})", "get(a.x, a.p - 2)", "get(a.x, a.p + 1)"
-    merged = f"({_rank(token, f'({behind} & {ID})')} | (a.low & {OFFSETS << OFFSET}L) | {token})"
-    beside = f"({_rank(f'({before} & {ID})', token)} | ({before} & {(1 << RANK) - 1}L))"
-    joined = f"concat(slice(a.x, 1, greatest(a.p - 2, 0)), if(a.p > 1, array({beside}, {merged}), array({merged})), slice(a.x, a.p + 2, size(a.x)))"
-    step = f"if(a.p < 0, a, if(step % 2 = 0, {seek}, named_struct('x', {joined}, 'low', 0L, 'p', 0)))"
-    return f"aggregate(sequence(2, 2 * size({codes}) + 1), named_struct('x', {first}, 'low', 0L, 'p', 0), (a, step) -> {step}, a -> a.x)"
-
-
-def _blocks(codes: str) -> str:
-    """Ids of a long array of bytes (a name), folded in windows; null if a seam fails its test."""
-    n, none = f"size({codes})", "cast(array() as array<bigint>)"
+    return f"transform({elements}, e -> e & {ID})"
+
+
+def _fold(text: str) -> str:
+    """The ids of a word (a name of its bytes as Latin-1): its merges, lowest rank first, each wherever its pair stands."""
+    size = f"length({text})"
+    place = lambda part: f"get(m.places, hash({part}) & {PART_BUCKETS - 1})"
+    few = f"transform(get(m.parts, {size}), k -> {place(f'substring({text}, shiftright(k, 3), k & 7)')})"
+    parts = f"flatten(transform(sequence(2, {PART}), n -> transform(sequence(1, {size} - n + 1), i -> substring({text}, i, n))))"
+    many = f"array_distinct(transform(array_distinct({parts}), p -> {place('p')}))"
+    ranks = f"flatten(transform(array_remove(if({size} <= {TABLED}, {few}, {many}), -1), g -> get(m.groups, g)))"
+    merged = f"aggregate(sort_array({ranks}), {text}, (s, r) -> replace(s, get(m.pairs, r), get(m.made, r)))"
+    return _let(merged, "s", "transform(sequence(1, length(s)), i -> get(m.ids, ascii(substring(s, i, 1))))")
+
+
+def _placed(ids: str) -> str:
+    """The elements of a window's ids."""
+    end = "coalesce(get(a, size(a) - 1), 0)"
+    begin = f"if(size(a) = 0, 0, {_begin(end)} + get(m.widths, {end} & {ID}))"
+    return f"aggregate({ids}, cast(array() as array<int>), (a, e) -> array_append(a, shiftleft({begin}, {OFFSET}) | e))"
+
+
+def _blocks(text: str) -> str:
+    """Ids of a long word (a name of its bytes as Latin-1), folded in windows; null if a seam fails its test."""
+    n, none = f"length({text})", "cast(array() as array<int>)"
     at_end = f"(s.pos + {WINDOW} >= {n})"
     kept = f"if({at_end}, size(s.x), size(filter(s.x, e -> {_begin('e')} < {HALF})))"
     second = f"coalesce({_begin('get(s.x, 1)')}, {n} - s.pos)"
-    two = _let(f"slice({codes}, s.last + 1, s.pos - s.last + {second})", "u", _let(_fold("u"), "y", f"size(y) = 2 and {_begin('get(y, 1)')} = s.pos - s.last"))
-    fill = f"named_struct('pos', s.pos, 'last', s.last, 'ok', s.ok, 'out', s.out, 'x', {_let(f'slice({codes}, s.pos + 1, {WINDOW})', 'u', _fold('u'))})"
+    two = _let(f"substring({text}, s.last + 1, s.pos - s.last + {second})", "u", _let(_fold("u"), "y", "size(y) = 2 and get(m.widths, y[0]) = s.pos - s.last"))
+    fill = f"named_struct('pos', s.pos, 'last', s.last, 'ok', s.ok, 'out', s.out, 'x', {_let(f'substring({text}, s.pos + 1, {WINDOW})', 'u', _placed(_fold('u')))})"
     take = (
         f"named_struct('pos', if({at_end}, {n}, s.pos + {_begin(f'get(s.x, {kept})')}), 'last', s.pos + {_begin(f'get(s.x, {kept} - 1)')}, 'ok', s.ok and (s.pos = 0 or {two}),"
         f" 'out', concat(s.out, array({_ids(f'slice(s.x, 1, {kept})')})), 'x', {none})"
@@ -175,9 +221,8 @@ def _blocks(codes: str) -> str:
 
 def _spell(word: str) -> str:
     """The ids of a word that is no token."""
-    codes = f"transform(split(decode(encode({word}, 'UTF-8'), 'ISO-8859-1'), ''), c -> ascii(c))"
-    whole = _ids(_fold("b"))
-    return _let(codes, "b", f"if(size(b) <= {WINDOW}, {whole}, coalesce({_blocks('b')}, {whole}))")
+    whole = _fold("b")
+    return _let(f"decode(encode({word}, 'UTF-8'), 'ISO-8859-1')", "b", f"if(length(b) <= {WINDOW}, {whole}, coalesce({_blocks('b')}, {whole}))")
 
 
 def _token(word: str) -> str:
@@ -211,7 +256,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
         raise ValueError(f"tokens of at most {WINDOW - HALF} bytes are expected")
     rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
     with Constants(documents.sparkSession) as constants:
-        constants.add(_ranks(data), RANKS_TYPES)
+        constants.add(_merges(data), MERGES_TYPES)
         constants.add(_words(data, []), WORDS_TYPE)
         some = f"filter(array_distinct({_cut('t')}), w -> octet_length(w) <= {SHORT} and {_token('w')} is null)"
         # the limit stops the scan after its first rows; SAMPLE words of SHORT bytes at most reach the driver

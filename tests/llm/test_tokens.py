@@ -1,5 +1,6 @@
 """Encoding, packing and splitting: exact against the tokenizer libraries, round trips and invariants."""
 
+import base64
 import random
 
 import numpy as np
@@ -60,6 +61,24 @@ def test_long_words_in_blocks(spark, enc, monkeypatch):
     assert all(got[k] == enc.encode(t) for k, t in rows[3:])
 
 
+def test_fold_by_the_ranks_of_parts(spark, enc):
+    """One step of the fold for each token in the word: every token by itself comes from its bytes, half characters too; random bytes."""
+    r = random.Random(5)
+    words = [t for t in enc.ranks if len(t) > 1] + [bytes(r.choice(b" aeinrst\xe3\x81\x82\xff") for _ in range(r.randrange(2, 60))) for _ in range(2000)]
+    with tokenize.Constants(spark) as constants:
+        constants.add(tokenize._merges(enc.data), tokenize.MERGES_TYPES)
+        got = spark.createDataFrame([(w.decode("latin-1"),) for w in words], "b string").selectExpr("b", constants.bound(tokenize._fold("b")) + " AS ids").collect()
+    assert len(got) == len(words) and all(x["ids"] == enc.word(x["b"].encode("latin-1")) for x in got)
+
+
+def test_a_token_without_a_merge_of_its_own_is_refused(spark, tmp_path):
+    """abc would come from ab, which ranks after it: then ranks are not in order."""
+    tokens = [bytes([i]) for i in range(256)] + [b"abc", b"ab"]
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    with pytest.raises(ValueError):
+        tokenize.encode(frame(spark, [(1, "xabc")]), path=str(tmp_path / "v"))
+
+
 def test_constants_leave_the_session(spark, corpus):
     tokenize.encode(frame(spark, corpus[:5]))
     assert not [r for r in spark.sql("SHOW VIEWS").collect() if r["viewName"].startswith("loomgraph")]
